@@ -163,28 +163,43 @@ def bucket_order(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(bucket[order], np.arange(parts + 1))
 
 
-def ask(blocks: DataFrame, parts: int, keys: Callable, answer: Callable) -> DataFrame:
+MESSAGE = "kind int, label int, bucket int, block bigint, k binary, v binary"
+ASKED, TOLD, TOTAL = 0, 1, 2  # kinds of message: a block's keys or the answers to them; data for buckets; sums over a bucket
+
+
+def messages(k: np.ndarray, v: np.ndarray, parts: int, label: list[int], kind: int, block: int) -> pa.RecordBatch:
+    """Sorted distinct keys and their bytes, one row for each bucket that gets some."""
+    order, at = bucket_order(k, parts)
+    k, v = k[order], v[order]
+    full = [i for i in range(parts) if at[i] < at[i + 1]]
+    return pa.RecordBatch.from_pydict({
+        "kind": pa.array([kind] * len(full), pa.int32()),
+        "label": pa.array([label[i] for i in full], pa.int32()),
+        "bucket": pa.array(full, pa.int32()),
+        "block": pa.array([block] * len(full), pa.int64()),
+        "k": pa.array([pack_keys(k[at[i]:at[i + 1]]) for i in full], pa.binary()),
+        "v": pa.array([pack_array(v[at[i]:at[i + 1]]) for i in full], pa.binary()),
+    })
+
+
+def one(kind: int, label: int, bucket: int, block: int, k: bytes, v: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"kind": pa.array([kind], pa.int32()), "label": pa.array([label], pa.int32()), "bucket": pa.array([bucket], pa.int32()),
+                                       "block": pa.array([block], pa.int64()), "k": pa.array([k], pa.binary()), "v": pa.array([v], pa.binary())})
+
+
+def ask(blocks: DataFrame, parts: int, keys: Callable, answer: Callable, told: DataFrame | None = None) -> DataFrame:
     """One round of questions.
 
     keys(block row) -> (sorted distinct uint64 keys, uint8 matrix with a row of bytes for each key)
-    answer(list of keys arrays, list of byte matrices) -> list of byte matrices, one row for each key asked
-    Returns (block, answers): the answers array is ordered by bucket, for ``answered``.
+    answer(bucket, kinds, list of keys arrays, list of byte matrices) -> (list of byte matrices, one row for
+    each key of each ASKED message in order; data for later rounds as (keys, bytes) or None; array of sums or None)
+    told: messages of kind TOLD from an earlier round, which meet the questions in their buckets.
     """
     label = labels(parts)
 
     def send(batches):
         for row in rows(batches):
-            k, v = keys(row)
-            order, at = bucket_order(k, parts)
-            k, v = k[order], v[order]
-            full = [i for i in range(parts) if at[i] < at[i + 1]]
-            yield pa.RecordBatch.from_pydict({
-                "label": pa.array([label[i] for i in full], pa.int32()),
-                "bucket": pa.array(full, pa.int32()),
-                "block": pa.array([row["block"]] * len(full), pa.int64()),
-                "k": pa.array([pack_keys(k[at[i]:at[i + 1]]) for i in full], pa.binary()),
-                "v": pa.array([pack_array(v[at[i]:at[i + 1]]) for i in full], pa.binary()),
-            })
+            yield messages(*keys(row), parts, label, ASKED, row["block"])
 
     def reply(batches):
         got = list(rows(batches))
@@ -192,16 +207,40 @@ def ask(blocks: DataFrame, parts: int, keys: Callable, answer: Callable) -> Data
             return
         ks = [unpack_keys(r["k"]) for r in got]
         vs = [unpack_array(r["v"], np.uint8).reshape(len(k), -1) for r, k in zip(got, ks)]
-        head = [(r["bucket"], r["block"]) for r in got]
+        head = [(r["kind"], r["bucket"], r["block"]) for r in got]
         del got
-        for (bucket, block), out in zip(head, answer(ks, vs)):
-            yield pa.RecordBatch.from_pydict({
-                "bucket": pa.array([bucket], pa.int32()), "block": pa.array([block], pa.int64()),
-                "a": pa.array([pack_array(out)], pa.binary())})
-
-    sent = blocks.mapInArrow(send, "label int, bucket int, block bigint, k binary, v binary")
-    back = sent.repartition(parts, "label").mapInArrow(reply, "bucket int, block bigint, a binary")
-    return back.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bucket", "a"))).alias("answers"))
+        out, data, sums = answer(head[0][1], [h[0] for h in head], ks, vs)
+        asked = [h for h in head if h[0] == ASKED]
+        for (_, bucket, block), a in zip(asked, out):
+            yield one(ASKED, 0, bucket, block, b"", pack_array(a))
+        if data is not None and len(data[0]):
+            yield messages(*data, parts, label, TOLD, -1)
+        if sums is not None:
+            yield one(TOTAL, 0, head[0][1], -1, b"", np.asarray(sums, np.float64).tobytes())
+
+    sent = blocks.mapInArrow(send, MESSAGE)
+    if told is not None:
+        sent = sent.unionByName(told)
+    return sent.repartition(parts, "label").mapInArrow(reply, MESSAGE)
+
+
+def by_block(replies: DataFrame, name: str) -> DataFrame:
+    """(block, name): each block's answers, ordered by bucket."""
+    return replies.where(F.col("kind") == ASKED).groupBy("block").agg(
+        F.array_sort(F.collect_list(F.struct("bucket", F.col("v").alias("a")))).alias(name))
+
+
+def total(replies: DataFrame) -> np.ndarray:
+    """Sum of what the buckets summed (one short row per bucket)."""
+    got = replies.where(F.col("kind") == TOTAL).select("v").collect()
+    return sum((np.frombuffer(r["v"], np.float64) for r in got), np.zeros(0) if not got else 0)
+
+
+def merged(ks: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Sorted distinct keys of all messages, and the place of each message's keys among them."""
+    every = np.concatenate(ks)
+    u, inverse = np.unique(every, return_inverse=True)
+    return u, np.split(inverse, np.cumsum([len(k) for k in ks])[:-1])
 
 
 def answered(keys: np.ndarray, answers: list[dict] | None, parts: int, width: int) -> np.ndarray:

@@ -20,6 +20,18 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, ranks, public_tokenizers.PATTERN, keep_ids=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op2_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import suffix
+
+    return suffix.mark(_docs(spark, sf_dir))
+
+
+def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import ngram
+
+    return ngram.score(_docs(spark, sf_dir))
+
+
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import mixing, shared
 
@@ -70,7 +82,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs.select("doc_id", "text", held), langs, model).select("doc_id", "held_out", "lang_pred", "score", "n_langs")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op4_mix, op5_media, op7_quality, op9_chat, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_suffix, op3_lm, op4_mix, op5_media, op7_quality, op9_chat, op10_language)}
 
 ORACLE_SQL = {
     "op9_chat": r"""
