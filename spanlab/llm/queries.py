@@ -49,6 +49,12 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", sizes, "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import jaccard
+
+    return jaccard.group(_docs(spark, sf_dir))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality
 
@@ -82,7 +88,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs.select("doc_id", "text", held), langs, model).select("doc_id", "held_out", "lang_pred", "score", "n_langs")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_suffix, op3_lm, op4_mix, op5_media, op7_quality, op9_chat, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_suffix, op3_lm, op4_mix, op5_media, op6_jaccard, op7_quality, op9_chat, op10_language)}
 
 ORACLE_SQL = {
     "op9_chat": r"""
