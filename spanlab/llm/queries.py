@@ -62,6 +62,12 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_docs(spark, sf_dir), labels).select("doc_id", "log_ratio", "key", "kept")
 
 
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import embed
+
+    return embed.dedup(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import chat, shared
 
@@ -88,9 +94,21 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs.select("doc_id", "text", held), langs, model).select("doc_id", "held_out", "lang_pred", "score", "n_langs")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_suffix, op3_lm, op4_mix, op5_media, op6_jaccard, op7_quality, op9_chat, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_suffix, op3_lm, op4_mix, op5_media, op6_jaccard, op7_quality, op8_embeddings, op9_chat, op10_language)}
 
 ORACLE_SQL = {
+    "op8_embeddings": """
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+ok AS (SELECT vec_id, e FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+n AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS norm FROM ok),
+link AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+         WHERE list_dot_product(a.e, b.e) / a.norm / b.norm >= 0.95),
+reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+low AS (SELECT a, min(b) AS b FROM reach GROUP BY a),
+cnt AS (SELECT a, count(*) AS c FROM link GROUP BY a)
+SELECT v.vec_id, coalesce(c, 0)::BIGINT AS n_links, least(v.vec_id, coalesce(low.b, v.vec_id)) AS component_id,
+       v.vec_id = least(v.vec_id, coalesce(low.b, v.vec_id)) AS kept
+FROM v LEFT JOIN low ON low.a = v.vec_id LEFT JOIN cnt ON cnt.a = v.vec_id""",
     "op9_chat": r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
