@@ -1,11 +1,68 @@
-"""Corpus pipeline: quality, near duplicates, repeated passages, mixing, tokens."""
+"""Corpus pipeline: quality, near duplicates, repeated passages, mixing, tokens.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and works on all of docs; all but the
+last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from spanlab.llm import bpe, jaccard, mixing, quality, shared, suffix
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that importance resampling keeps."""
+    return quality.resample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near copies; of rows with one id, one."""
+    first = jaccard.group(docs).where("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("_id")).distinct()
+    found = docs.join(first, docs["doc_id"].eqNullSafe(first["_id"]), "left_semi")
+    number = F.row_number().over(W.partitionBy("doc_id").orderBy("text", "source", "lang"))
+    return found.withColumn("_n", number).where("_n = 1 or doc_id is null").select(*docs.columns)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the 50-byte strings that an earlier document has; characters cut in half go too."""
+    kept = suffix.mark(docs, keep_text=True).select(F.col("doc_id").alias("_id"), F.expr("try_validate_utf8(kept)").alias("_whole"), "kept")
+    text = F.coalesce("_whole", F.expr("make_valid_utf8(kept)"))
+    found = docs.drop("text", "n_chars").join(kept, docs["doc_id"].eqNullSafe(kept["_id"]))
+    made = found.withColumn("text", F.regexp_replace(text, "�", "")).withColumn("n_chars", F.length("text").cast("bigint"))
+    return made.select(*[c for c in docs.columns])
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.mix(docs)
+
+
+def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, with digests of the ids and of the decoded bytes."""
+    import public_tokenizers
+
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return bpe.encode(docs, ranks, public_tokenizers.PATTERN).drop("text")
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("near_copies", drop_near_copies),
+    ("repeats", cut_repeats),
+    ("mix", mix_sources),
+    ("tokens", encode_tokens),
+]
+
+#: Sampling, connected components and merges have no SQL form; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; what a stage returns is written before the next one reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = shared.put(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -152,3 +152,18 @@ def classify(docs: DataFrame, labels: DataFrame, text: str = "text", seed: int =
     share = labels.where("quality is not null").agg(F.avg(F.when((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), 1.0).otherwise(0.0))).first()[0]
     scored = shared.put(score(docs.select("doc_id", text), fit(docs, good, text), text, seed).select("doc_id", "log_ratio", "key"), "quality")
     return scored.withColumn("kept", F.col("key") >= top(scored, 1.0 if share is None else share))
+
+
+def resample(docs: DataFrame, labels: DataFrame, text: str = "text", seed: int = 7) -> DataFrame:
+    """Rows of docs that ``classify`` keeps, columns unchanged; texts are scored again rather than shuffled."""
+    good = labels.where("quality = 1 and coalesce(toxic, 0) = 0")
+    share = labels.where("quality is not null").agg(F.avg(F.when((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), 1.0).otherwise(0.0))).first()[0]
+    if share is None:
+        return docs
+    model = fit(docs, good, text)
+    keys = shared.put(score(docs.select("doc_id", text), model, text, seed).select("key"), "quality")
+    line = top(keys, share)
+    shared.drop(keys)
+    columns = docs.columns
+    kept = score(docs.select(F.struct("*").alias("_row"), "doc_id", text), model, text, seed).where(F.col("key") >= line)
+    return kept.select(*[F.col("_row")[c].alias(c) for c in columns])
