@@ -2,9 +2,8 @@
 
 Two generative models of hashed word n-grams, of the target (labelled good)
 texts and of all raw texts, give each document log p_target - log p_raw.
-Gumbel noise is added and the highest keys are kept: sampling without
-replacement in proportion to the ratio.  How many are kept follows from the
-share of good documents among the labelled ones.
+Gumbel noise is added and the highest keys are kept.  How many are kept
+follows from the ratio that best parts the labelled good from the other rows.
 """
 
 from __future__ import annotations
@@ -19,9 +18,13 @@ from pyspark.sql import functions as F
 from . import shared
 from .npwords import _FOLD, U64, mix, pack, slices, span_hashes
 
-BITS = 18
-#: Standard deviations by which a bucket must stray from the common ratio to count.
-STRAY = 6.0
+BITS = 19
+#: Standard deviations by which a bucket must fall short of the common ratio to count.
+STRAY = 5.0
+#: Least drop of the log ratio that counts as evidence, however sure it is.
+DROP = 2.5
+#: Scale of the Gumbel noise: near 0, the best documents are taken; 1, sampling by the ratio itself.
+NOISE = 0.2
 _KIND = np.zeros(256, np.uint8)
 _KIND[0x21:0x7F] = 2
 _KIND[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = 1
@@ -47,12 +50,15 @@ def grams(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         prev = np.concatenate([np.zeros(1, U64), h[:-1]])[: len(h)]
         prev[at[:-1][at[:-1] < len(h)]] = U64(1)
         shift = U64(64 - BITS)
-        single = np.unique((own << BITS) | (h >> shift).astype(np.int64))
-        double = np.unique((own << BITS) | (mix(prev * U64(3) + h) >> shift).astype(np.int64))
+        half = 1 << (BITS - 1)  # words in the lower half of the buckets, bigrams in the upper
+        shift = U64(65 - BITS)
+        single = (own << BITS) | (h >> shift).astype(np.int64)
+        double = np.unique((own << BITS) | half | (mix(prev * U64(3) + h) >> shift).astype(np.int64))
         n = np.diff(at)
         repeated = 1 - np.bincount(double >> BITS, minlength=b - a) / np.maximum(n, 1)
         tenth = mix((np.floor(repeated * 10) + 77).astype(U64)) >> shift
-        key = np.unique(np.concatenate([single, double, ((np.arange(b - a) << BITS) | tenth.astype(np.int64))[n > 0]]))
+        single = np.unique(np.concatenate([single, ((np.arange(b - a) << BITS) | tenth.astype(np.int64))[n > 0]]))
+        key = np.concatenate([single, double])
         yield a, key & ((1 << BITS) - 1), a + (key >> BITS)
 
 
@@ -86,19 +92,28 @@ def fit(docs: DataFrame, good: DataFrame, text: str = "text") -> np.ndarray:
     if not len(got) or not total["t"].sum():
         return np.zeros(1 << BITS)
     counts[:, got["g"].to_numpy(int)] = got[["t", "r"]].to_numpy(float).T
-    return ratios(*counts, float(total["t"].sum() / total["r"].sum()))
+    return ratios(*counts)
 
 
-def ratios(target: np.ndarray, raw: np.ndarray, base: float) -> np.ndarray:
-    """Smoothed log ratios against the target's share of documents; buckets that stray from it by chance only are 0."""
-    base = min(base, 1 - 1e-9)
+def ratios(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
+    """Smoothed log ratio of each bucket against the common ratio, that of the median occurrence.
+
+    Grams of bad texts dilute the raw texts only, so a bucket is evidence if the
+    target falls short of the common ratio by more than chance; all else is neutral.
+    """
+    seen = np.flatnonzero(raw)
+    own = target[seen] / raw[seen]
+    order = np.argsort(own)
+    base = own[order][np.searchsorted(np.cumsum(raw[seen][order]), raw.sum() / 2)]
+    base = min(max(base, 1e-9), 1 - 1e-9)
     out = np.log((target + base) / (raw + 1) / base)
-    out[np.abs(target - raw * base) <= STRAY * np.sqrt((raw + 1) * base * (1 - base))] = 0
+    out[raw * base - target <= STRAY * np.sqrt((raw + 1) * base * (1 - base))] = 0
+    out[out > -DROP] = 0
     return out
 
 
 def score(docs: DataFrame, model: np.ndarray, text: str = "text", seed: int = 7) -> DataFrame:
-    """docs plus log_ratio and key = log_ratio + Gumbel noise (from seed and doc_id).
+    """docs plus log_ratio and key = log_ratio + NOISE * Gumbel noise (from seed and doc_id).
 
     Null, empty and symbol-free texts have ratio 0.  Clashing columns are replaced.
     """
@@ -115,7 +130,7 @@ def score(docs: DataFrame, model: np.ndarray, text: str = "text", seed: int = 7)
         return pd.Series(out)
 
     unit = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11) + 0.5) / F.lit(float(1 << 53))
-    return docs.withColumn("log_ratio", ratio(F.col(text).cast("binary"))).withColumn("key", F.col("log_ratio") - F.log(-F.log(unit)))
+    return docs.withColumn("log_ratio", ratio(F.col(text).cast("binary"))).withColumn("key", F.col("log_ratio") - NOISE * F.log(-F.log(unit)))
 
 
 def top(keyed: DataFrame, share: float, key: str = "key") -> float:
@@ -143,27 +158,48 @@ def top(keyed: DataFrame, share: float, key: str = "key") -> float:
     return lo
 
 
+def _share(ratios_of: DataFrame, labels: DataFrame) -> float:
+    """Share of documents to keep: those above the ratio that parts labelled target rows from the others best.
+
+    Histograms of 4096 bins; without both kinds of labelled rows all are kept.
+    """
+    kind = labels.where("quality is not null and doc_id is not null").select(F.col("doc_id").alias("_id"), ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("good"))
+    step = F.ceil(F.greatest(F.col("log_ratio"), F.lit(-64.0)) * 64).cast("int")  # 0 is a bin of its own
+    rows = ratios_of.join(kind, ratios_of["doc_id"] == kind["_id"], "left").groupBy(step.alias("bin"), "good").count().collect()
+    good, bad, every = (sum(r["count"] for r in rows if test(r["good"])) for test in (lambda g: g is True, lambda g: g is False, lambda g: True))
+    if not good or not bad:
+        return 1.0
+    best, line = 0.0, -(1 << 30)
+    kept_good, kept_bad = 0, 0
+    for b in sorted({r["bin"] for r in rows}, reverse=True):
+        kept_good += sum(r["count"] for r in rows if r["bin"] == b and r["good"] is True)
+        kept_bad += sum(r["count"] for r in rows if r["bin"] == b and r["good"] is False)
+        gain = kept_good / good - kept_bad / bad
+        if gain > best:
+            best, line = gain, b
+    return sum(r["count"] for r in rows if r["bin"] >= line) / every
+
+
+def _cut(docs: DataFrame, labels: DataFrame, text: str, seed: int) -> tuple[np.ndarray, DataFrame, float]:
+    """Model, (doc_id, log_ratio, key) of all documents, and the least key to keep."""
+    model = fit(docs, labels.where("quality = 1 and coalesce(toxic, 0) = 0"), text)
+    scored = shared.put(score(docs.select("doc_id", text), model, text, seed).select("doc_id", "log_ratio", "key"), "quality")
+    return model, scored, top(scored, _share(scored, labels))
+
+
 def classify(docs: DataFrame, labels: DataFrame, text: str = "text", seed: int = 7) -> DataFrame:
-    """docs plus log_ratio, key and kept.
+    """doc_id, log_ratio, key and kept of each row of docs.
 
-    Target: labelled quality 1 and not toxic.  Kept: the share of such rows among the labelled documents (all, if none is labelled).
+    Target: labelled quality 1 and not toxic.  How many are kept follows from
+    the labelled rows; without labels of both kinds all are.
     """
-    good = labels.where("quality = 1 and coalesce(toxic, 0) = 0")
-    share = labels.where("quality is not null").agg(F.avg(F.when((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), 1.0).otherwise(0.0))).first()[0]
-    scored = shared.put(score(docs.select("doc_id", text), fit(docs, good, text), text, seed).select("doc_id", "log_ratio", "key"), "quality")
-    return scored.withColumn("kept", F.col("key") >= top(scored, 1.0 if share is None else share))
+    _, scored, line = _cut(docs, labels, text, seed)
+    return scored.withColumn("kept", F.col("key") >= line)
 
 
 def resample(docs: DataFrame, labels: DataFrame, text: str = "text", seed: int = 7) -> DataFrame:
     """Rows of docs that ``classify`` keeps, columns unchanged; texts are scored again rather than shuffled."""
-    good = labels.where("quality = 1 and coalesce(toxic, 0) = 0")
-    share = labels.where("quality is not null").agg(F.avg(F.when((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), 1.0).otherwise(0.0))).first()[0]
-    if share is None:
-        return docs
-    model = fit(docs, good, text)
-    keys = shared.put(score(docs.select("doc_id", text), model, text, seed).select("key"), "quality")
-    line = top(keys, share)
-    shared.drop(keys)
-    columns = docs.columns
+    model, scored, line = _cut(docs, labels, text, seed)
+    shared.drop(scored)
     kept = score(docs.select(F.struct("*").alias("_row"), "doc_id", text), model, text, seed).where(F.col("key") >= line)
-    return kept.select(*[F.col("_row")[c].alias(c) for c in columns])
+    return kept.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
