@@ -59,7 +59,8 @@ def paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     out = ended.where("ok and leaf").select(F.col("node").alias("leaf"), "node", F.col("steps").alias("depth"))
     for k in range(len(jumps) - 1, -1, -1):
         j = jumps[k].select(F.col("node").alias("_n"), "up")
-        out = out.unionByName(out.join(j, out["node"] == j["_n"]).select("leaf", F.col("up").alias("node"), (F.col("depth") - (1 << k)).alias("depth")))
+        # written at each round: the plan would double with every union
+        out = shared.put(out.unionByName(out.join(j, out["node"] == j["_n"]).select("leaf", F.col("up").alias("node"), (F.col("depth") - (1 << k)).alias("depth"))), "paths")
     return out
 
 
