@@ -52,9 +52,10 @@ def paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     while not now.where("up is not null").isEmpty() and len(jumps) < 64:
         jumps.append(now.select("node", "up").where("up is not null"))
         far = now.select(F.col("node").alias("_n"), F.col("up").alias("_u"), F.col("ok").alias("_k"), F.col("steps").alias("_s"))
-        now = shared.put(now.join(far, now["up"] == far["_n"], "left").select(
-            "node", F.col("_u").alias("up"), (F.col("ok") & F.coalesce("_k", F.lit(True))).alias("ok"), "leaf",
-            (F.col("steps") + F.coalesce("_s", F.lit(0))).alias("steps")), "tree")
+        # only nodes that haven't reached their root look further up
+        moved = now.where("up is not null").join(far, F.col("up") == F.col("_n")).select(
+            "node", F.col("_u").alias("up"), (F.col("ok") & F.col("_k")).alias("ok"), "leaf", (F.col("steps") + F.col("_s")).alias("steps"))
+        now = shared.put(now.where("up is null").unionByName(moved), "tree")
     ended = now.where("up is null")
     out = ended.where("ok and leaf").select(F.col("node").alias("leaf"), "node", F.col("steps").alias("depth"))
     for k in range(len(jumps) - 1, -1, -1):
