@@ -97,13 +97,12 @@ def two_stage(text: np.ndarray, valid: np.ndarray, depth: int = WINDOW) -> np.nd
     text: uint8, padded with depth + 8 bytes; valid: mask over text.
     """
     n = len(text)
-    step = np.flatnonzero(text[1:] != text[:-1])
-    up_at = text[np.minimum(step + 1, n - 1)] > text[step]
     up = np.zeros(n, bool)  # suffix smaller than its successor
-    if len(step):
-        run = np.searchsorted(step, np.arange(n))
-        inside = run < len(step)
-        up[inside] = up_at[run[inside]]
+    up[:-1] = text[1:] > text[:-1]
+    same = np.flatnonzero(text[1:] == text[:-1])
+    if len(same):  # inside a run of one byte: as at the run's end
+        last = np.append(np.flatnonzero(np.diff(same) > 1), len(same) - 1)
+        up[same] = np.repeat(up[same[last] + 1], np.diff(np.concatenate([[-1], last])))
     member = valid.copy()
     front = np.flatnonzero(valid[:-1] & ~valid[1:])
     for _ in range(depth):  # successors that the induction needs, up to one that is sorted directly
@@ -161,9 +160,11 @@ def earlier(pieces: list[bytes], docs: np.ndarray, window: int = WINDOW) -> list
     text = np.frombuffer(b"".join(whole) + bytes(window + 8), np.uint8)
     size = np.array([len(p) for p in whole], np.int64)
     start = np.cumsum(size) - size
-    own = np.repeat(np.arange(len(whole)), size)
+    own = np.repeat(np.arange(len(whole), dtype=np.int32), size)
     valid = np.zeros(len(text), bool)
-    valid[: len(own)] = np.arange(len(own)) + window <= (start + size)[own]
+    valid[: len(own)] = True
+    for k in range(1, window):
+        valid[start + size - k] = False
     order = two_stage(text, valid, window)
     alike = np.ones(max(len(order) - 1, 0), bool)  # adjacent common prefix of window bytes
     for k in range(-(-window // 8)):
@@ -207,7 +208,7 @@ def _shared_keys(bucket, kinds, ks, vs):
 class _Plan:
     """The stretches of a block that travel: one of each content, its bucket, and who else has it."""
 
-    def __init__(self, row: dict, parts: int, window: int):
+    def __init__(self, row: dict, parts: int, fine: int, window: int):
         self.ids, self.texts = B.unpack_block(row)
         own, at, size, low = stretches(self.texts, window)
         u, place = np.unique(low, return_inverse=True)
@@ -222,9 +223,9 @@ class _Plan:
         _, first = np.unique(self.same, return_index=True)
         self.pieces = list(seen)
         self.docs = self.ids[self.own[first]]
-        bucket = (mix(low[order][first] ^ U64(0x1357_9BDF)) % U64(parts)).astype(np.int64)
+        bucket = (mix(low[order][first] ^ U64(0x1357_9BDF)) % U64(fine)).astype(np.int64)
         self.order = np.argsort(bucket, kind="stable")
-        self.bound = np.searchsorted(bucket[self.order], np.arange(parts + 1))
+        self.bound = np.searchsorted(bucket[self.order], np.arange(fine + 1))
 
 
 def mark(docs: DataFrame, window: int = WINDOW, keep_text: bool = False, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
@@ -238,13 +239,14 @@ def mark(docs: DataFrame, window: int = WINDOW, keep_text: bool = False, block_b
     base = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(int(NO_ID))).alias("doc_id"), "text")
     store = B.Blocks(base, block_bytes)
     parts = store.parts
-    label = B.labels(parts)
+    fine = max(parts, 4 * docs.rdd.getNumPartitions())  # stretches are longer than keys: smaller buckets
+    label = B.labels(fine)
     common = shared.put(B.by_block(B.ask(store.df, parts, _ask_keys(window), _shared_keys), "common"), "common")
 
     def send(batches):
         for row in B.rows(batches):
-            p = _Plan(row, parts, window)
-            for i in range(parts):
+            p = _Plan(row, parts, fine, window)
+            for i in range(fine):
                 mine = p.order[p.bound[i]:p.bound[i + 1]]
                 if len(mine):
                     got = [p.pieces[j] for j in mine.tolist()]
@@ -262,6 +264,8 @@ def mark(docs: DataFrame, window: int = WINDOW, keep_text: bool = False, block_b
             pieces += [data[a:b] for a, b in zip([0, *ends], ends)]
             who.append(doc)
             counts.append(len(size))
+        for r in got:
+            r["k"] = r["v"] = None
         hits = earlier(pieces, np.concatenate(who), window)
         at = 0
         for r, n in zip(got, counts):
@@ -269,11 +273,11 @@ def mark(docs: DataFrame, window: int = WINDOW, keep_text: bool = False, block_b
             at += n
 
     joined = store.df.join(common, "block", "left")
-    hits = B.by_block(joined.mapInArrow(send, B.MESSAGE).repartition(parts, "label").mapInArrow(reply, B.MESSAGE), "hits")
+    hits = B.by_block(joined.mapInArrow(send, B.MESSAGE).repartition(fine, "label").mapInArrow(reply, B.MESSAGE), "hits")
 
     def finish(batches):
         for row in B.rows(batches):
-            p = _Plan(row, parts, window)
+            p = _Plan(row, parts, fine, window)
             windows = np.array([len(x) - window + 1 for x in p.pieces], np.int64)
             by_piece: list = [None] * len(p.pieces)
             for x in row["hits"] or []:
