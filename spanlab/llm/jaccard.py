@@ -5,9 +5,10 @@ long as it is one order for all.  Several orders are intersected:
 first, over all documents, two random orders (a document without a shared
 prefix token in each of them has no partner); then, over those left, orders by
 rarity with different ties.  Only pairs that share prefix tokens under every
-order are compared exactly.  Pairs are made star-wise: each posting list first
-meets its first document; what that links needs no further pairs inside the
-list, and only documents of different groups are paired after that.
+order are compared exactly.  Pairs are made star-wise: in each round a posting
+list's documents meet one document of another group, drawn at random, and what
+links becomes one group.  Once few pairs of different groups share a list, all
+of those are compared, so no link between groups is missed.
 """
 
 from __future__ import annotations
@@ -119,32 +120,53 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return full.mapInArrow(_pair_check(percent), "a bigint, b bigint")
 
 
-def link(sets: DataFrame, percent: int) -> DataFrame:
+def _possible(n: str, pos: str, m: str, at: str, percent: int) -> str:
+    """SQL: sizes agree, and as many tokens can still be common if these places hold the first common one.
+
+    A linked pair passes at its first common token, so it may be dropped at others.
+    """
+    return (f"100L * least({n}, {m}) >= {percent}L * greatest({n}, {m}) and "
+            f"{100 + percent}L * least({n} - {pos}, {m} - {at}) >= {percent}L * ({n} + {m})")
+
+
+def link(sets: DataFrame, percent: int, rounds: int = 8) -> DataFrame:
     """Edges (a, b) between ids of sets (id, tokens, levels): enough of them to connect all that are linked."""
 
     def post(batches):
         for row in B.rows(batches):
             tokens = np.frombuffer(row["tokens"], U64)
-            p = _rare_prefix(tokens, np.frombuffer(row["levels"], np.uint8), SEEDS[0], percent)
+            levels = np.frombuffer(row["levels"], np.uint8)
+            p = _rare_prefix(tokens, levels, SEEDS[0], percent)
             if len(p):
-                yield pa.RecordBatch.from_arrays([pa.array(p.view(np.int64)), pa.array(np.full(len(p), row["id"], np.int64)), pa.array(np.full(len(p), len(tokens), np.int32))], ["token", "id", "n"])
+                first = int((levels == 0).sum())
+                yield pa.RecordBatch.from_arrays([pa.array(p.view(np.int64)), pa.array(np.full(len(p), row["id"], np.int64)), pa.array(np.full(len(p), len(tokens), np.int32)),
+                                                  pa.array(np.arange(first, first + len(p), dtype=np.int32))], ["token", "id", "n", "pos"])
 
-    posts = shared.put(sets.mapInArrow(post, "token bigint, id bigint, n int"), "posts")
+    posts = shared.put(sets.mapInArrow(post, "token bigint, id bigint, n int, pos int"), "posts")
     edges = None
-    near = lambda a, b: f"100L * least({a}, {b}) >= {percent}L * greatest({a}, {b})"
-    for pick in (F.min, F.max):
-        hub = posts.groupBy("token").agg(pick(F.struct("id", "n")).alias("h"), F.count("*").alias("c")).where("c > 1")
-        stars = posts.join(hub, "token").where("id <> h.id").where(near("n", "h.n")).select(F.col("h.id").alias("x"), F.col("id").alias("y")).distinct()
-        found = shared.put(verify(stars, sets, percent), "links")
+    member = posts.withColumn("g", F.col("id"))
+    for k in range(rounds + 1):
+        by_group = member.groupBy("token", "g").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64(F.lit(k), "id").alias("h"), "id", "n", "pos")).alias("one"))
+        lists = by_group.groupBy("token").agg(F.count("*").alias("k"), ((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("open"),
+                                              F.min(F.struct("one", "g")).alias("m")).where("k > 1")
+        lists = shared.put(lists, "lists")
+        left, open_pairs = lists.agg(F.count("*"), F.coalesce(F.sum("open"), F.lit(0))).first()
+        member = shared.put(member.join(lists.select("token", "m"), "token"), "member")
+        if k == rounds or open_pairs <= 4 * left:
+            break
+        # the first document of the list, or for its own group the first of another
+        second = by_group.join(lists.select("token", F.col("m.g").alias("mg")), "token").where("g <> mg").groupBy("token").agg(F.min(F.struct("one", "g")).alias("s"))
+        partner = F.when(F.col("g") == F.col("m.g"), F.col("s.one")).otherwise(F.col("m.one"))
+        met = member.join(second, "token").withColumn("p", partner).where(_possible("n", "pos", "p.n", "p.pos", percent))
+        pairs = met.select(F.col("p.id").alias("x"), F.col("id").alias("y")).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+        found = shared.put(verify(pairs, sets, percent), "links")
         edges = found if edges is None else edges.unionByName(found)
-    group = shared.put(components(edges), "groups")
-    member = posts.join(group, "id", "left").select("token", "id", "n", F.coalesce("component", "id").alias("g"))
-    member = shared.put(member, "member")
-    several = member.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("token")
-    left = member.join(several, "token")
-    other = left.select("token", F.col("id").alias("y"), F.col("n").alias("m"), F.col("g").alias("o"))
-    rest = left.join(other, "token").where("g <> o and id < y").where(near("n", "m")).select(F.col("id").alias("x"), "y").distinct()
-    return edges.unionByName(shared.put(verify(rest, sets, percent), "links"))
+        group = shared.put(components(edges), "groups")
+        member = member.drop("m", "g").join(group, "id", "left").select("token", "id", "n", "pos", F.coalesce("component", "id").alias("g"))
+    other = member.select("token", F.col("id").alias("y"), F.col("n").alias("m_n"), F.col("pos").alias("m_pos"), F.col("g").alias("o"))
+    rest = member.join(other, "token").where(f"g <> o and id < y and {_possible('n', 'pos', 'm_n', 'm_pos', percent)}").select(F.col("id").alias("x"), "y").distinct()
+    last = shared.put(verify(rest, sets, percent), "links")
+    return last if edges is None else edges.unionByName(last)
 
 
 def group(docs: DataFrame, percent: int = 75, n: int = 5, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
