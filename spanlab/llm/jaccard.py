@@ -145,6 +145,7 @@ def link(sets: DataFrame, percent: int, rounds: int = 8) -> DataFrame:
     posts = shared.put(sets.mapInArrow(post, "token bigint, id bigint, n int, pos int"), "posts")
     edges = None
     member = posts.withColumn("g", F.col("id"))
+    old: list[DataFrame] = []  # what the last round wrote and nothing reads any more
     for k in range(rounds + 1):
         by_group = member.groupBy("token", "g").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64(F.lit(k), "id").alias("h"), "id", "n", "pos")).alias("one"))
         lists = by_group.groupBy("token").agg(F.count("*").alias("k"), ((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("open"),
@@ -152,6 +153,7 @@ def link(sets: DataFrame, percent: int, rounds: int = 8) -> DataFrame:
         lists = shared.put(lists, "lists")
         left, open_pairs = lists.agg(F.count("*"), F.coalesce(F.sum("open"), F.lit(0))).first()
         member = shared.put(member.join(lists.select("token", "m"), "token"), "member")
+        stale, old = old, [lists, member]
         if k == rounds or open_pairs <= 4 * left:
             break
         # the first document of the list, or for its own group the first of another
@@ -160,8 +162,11 @@ def link(sets: DataFrame, percent: int, rounds: int = 8) -> DataFrame:
         met = member.join(second, "token").withColumn("p", partner).where(_possible("n", "pos", "p.n", "p.pos", percent))
         pairs = met.select(F.col("p.id").alias("x"), F.col("id").alias("y")).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
         found = shared.put(verify(pairs, sets, percent), "links")
+        for x in stale:
+            shared.drop(x)
         edges = found if edges is None else edges.unionByName(found)
         group = shared.put(components(edges), "groups")
+        old.append(group)
         member = member.drop("m", "g").join(group, "id", "left").select("token", "id", "n", "pos", F.coalesce("component", "id").alias("g"))
     other = member.select("token", F.col("id").alias("y"), F.col("n").alias("m_n"), F.col("pos").alias("m_pos"), F.col("g").alias("o"))
     rest = member.join(other, "token").where(f"g <> o and id < y and {_possible('n', 'pos', 'm_n', 'm_pos', percent)}").select(F.col("id").alias("x"), "y").distinct()
