@@ -4,6 +4,9 @@ Two generative models of hashed word n-grams, of the target (labelled good)
 texts and of all raw texts, give each document log p_target - log p_raw.
 Gumbel noise is added and the highest keys are kept.  How many are kept
 follows from the ratio that best parts the labelled good from the other rows.
+
+The ratio of a gram is its posterior mean, so rare grams count for little each
+but add up; a text's own occurrence is left out, so labels don't favour it.
 """
 
 from __future__ import annotations
@@ -11,20 +14,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
 from .npwords import _FOLD, U64, mix, pack, slices, span_hashes
 
-BITS = 19
-#: Standard deviations by which a bucket must fall short of the common ratio to count.
-STRAY = 5.0
-#: Least drop of the log ratio that counts as evidence, however sure it is.
-DROP = 2.5
-#: Scale of the Gumbel noise: near 0, the best documents are taken; 1, sampling by the ratio itself.
-NOISE = 0.2
+BITS = 20
+#: Log ratios that a gram may have besides 0; those above 0 end below that of a gram that only the target has.
+LOW, HIGH = (-10.0, -8.0, -6.0, -5.0, -4.0, -3.0, -2.0), (0.5, 0.8)
+#: Share of grams with a low ratio beforehand, and a tenth of it with a high one: words and beginnings, bigrams (far more, and copied together).
+PRIOR, PRIOR_BIGRAM = 5e-4, 1e-6
+#: Lengths in bytes of the beginnings of longer words that count as grams: compounds share them.
+BEGINNINGS = (4, 5, 6, 7, 8)
 _KIND = np.zeros(256, np.uint8)
 _KIND[0x21:0x7F] = 2
 _KIND[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = 1
@@ -33,8 +37,8 @@ _KIND[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80,
 def grams(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each slice of texts: its first text, then the distinct gram buckets of its texts and each one's text number.
 
-    Grams are words and punctuation runs, their bigrams, and one symbol for how
-    much of a text repeats its own bigrams (in tenths).
+    Grams are words and punctuation runs, beginnings of words, bigrams, and one
+    symbol for how much of a text repeats its own bigrams (in tenths).
     """
     for a, b in slices(texts):
         buf, starts = pack(texts[a:b])
@@ -44,21 +48,25 @@ def grams(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         hi = np.concatenate([edge, [len(buf)]])
         keep = kind[lo] > 0
         lo, hi = lo[keep], hi[keep]
-        h = span_hashes(_FOLD[buf], lo, hi)
+        folded = _FOLD[buf]
+        h = span_hashes(folded, lo, hi)
         at = np.searchsorted(lo, starts)
         own = np.repeat(np.arange(b - a), np.diff(at))
         prev = np.concatenate([np.zeros(1, U64), h[:-1]])[: len(h)]
         prev[at[:-1][at[:-1] < len(h)]] = U64(1)
-        shift = U64(64 - BITS)
-        half = 1 << (BITS - 1)  # words in the lower half of the buckets, bigrams in the upper
-        shift = U64(65 - BITS)
+        quarter = 1 << (BITS - 2)  # words in the first quarter of the buckets, bigrams in the second, beginnings in the others
+        shift = U64(66 - BITS)
         single = (own << BITS) | (h >> shift).astype(np.int64)
-        double = np.unique((own << BITS) | half | (mix(prev * U64(3) + h) >> shift).astype(np.int64))
+        double = np.unique((own << BITS) | quarter | (mix(prev * U64(3) + h) >> shift).astype(np.int64))
+        begun = []
+        for c in BEGINNINGS:
+            longer = hi - lo > c
+            begun.append((own[longer] << BITS) | 2 * quarter | (mix(span_hashes(folded, lo[longer], lo[longer] + c) + U64(c)) >> (shift - U64(1))).astype(np.int64))
         n = np.diff(at)
         repeated = 1 - np.bincount(double >> BITS, minlength=b - a) / np.maximum(n, 1)
         tenth = mix((np.floor(repeated * 10) + 77).astype(U64)) >> shift
         single = np.unique(np.concatenate([single, ((np.arange(b - a) << BITS) | tenth.astype(np.int64))[n > 0]]))
-        key = np.concatenate([single, double])
+        key = np.concatenate([single, double, np.unique(np.concatenate(begun))])
         yield a, key & ((1 << BITS) - 1), a + (key >> BITS)
 
 
@@ -76,12 +84,17 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pydict({"g": pa.array(np.append(at, -1), pa.int32()), "t": pa.array(np.append(total[0, at], texts_seen[0])), "r": pa.array(np.append(total[1, at], texts_seen[1]))})
 
 
+def _mark(good: DataFrame) -> DataFrame:
+    return good.select(F.col("doc_id").alias("_id")).where("_id is not null").distinct().withColumn("_good", F.lit(True))
+
+
 def fit(docs: DataFrame, good: DataFrame, text: str = "text") -> np.ndarray:
     """Log ratio of each n-gram bucket, target against raw, over all documents; ``good`` has the doc_ids of the target.
 
-    A gram counts once per text.  The model has 2**BITS numbers whatever the input; without target texts all are 0.
+    A gram counts once per text.  The model has 2 x 2**BITS numbers whatever the input, for texts outside and of
+    the target; without target texts all are 0.
     """
-    mark = good.select(F.col("doc_id").alias("_id")).where("_id is not null").distinct().withColumn("_good", F.lit(True))
+    mark = _mark(good)
     if text != "_text":
         docs = docs.select("doc_id", F.col(text).cast("binary").alias("_text"))
     flat = docs.join(mark, docs["doc_id"] == mark["_id"], "left").select("_text", F.coalesce("_good", F.lit(False)).alias("good"))
@@ -90,47 +103,67 @@ def fit(docs: DataFrame, good: DataFrame, text: str = "text") -> np.ndarray:
     total = got[got["g"] < 0]
     got = got[got["g"] >= 0]
     if not len(got) or not total["t"].sum():
-        return np.zeros(1 << BITS)
+        return np.zeros((2, 1 << BITS))
     counts[:, got["g"].to_numpy(int)] = got[["t", "r"]].to_numpy(float).T
     return ratios(*counts)
 
 
 def ratios(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
-    """Smoothed log ratio of each bucket against the common ratio, that of the median occurrence.
+    """Posterior mean of each bucket's log ratio to the common ratio (that of the median occurrence), with one text left out.
 
-    Grams of bad texts dilute the raw texts only, so a bucket is evidence if the
-    target falls short of the common ratio by more than chance; all else is neutral.
+    Row 0 leaves out a text outside the target, row 1 one of the target; row 1 is never above row 0.
     """
     seen = np.flatnonzero(raw)
     own = target[seen] / raw[seen]
     order = np.argsort(own)
     base = own[order][np.searchsorted(np.cumsum(raw[seen][order]), raw.sum() / 2)]
     base = min(max(base, 1e-9), 1 - 1e-9)
-    out = np.log((target + base) / (raw + 1) / base)
-    out[raw * base - target <= STRAY * np.sqrt((raw + 1) * base * (1 - base))] = 0
-    out[out > -DROP] = 0
+    high = np.minimum(HIGH, -np.log(base) * np.array([0.4, 0.7]))
+    grid = np.concatenate([LOW, [0.0], high])
+    out = np.zeros((2, len(raw)))
+    quarter = len(raw) // 4
+    for lo in range(0, len(seen), 1 << 16):
+        at = seen[lo : lo + (1 << 16)]
+        low = np.where((at >= quarter) & (at < 2 * quarter), PRIOR_BIGRAM, PRIOR)[:, None]
+        prior = np.log(np.concatenate([np.repeat(low / len(LOW), len(LOW), 1), 1 - 1.1 * low, np.repeat(low / 10 / len(HIGH), len(HIGH), 1)], 1))
+        n = raw[at] - 1
+        for k, t in enumerate((np.minimum(target[at], n), np.maximum(target[at] - 1, 0))):
+            fits = prior + t[:, None] * (np.log(base) + grid) + (n - t)[:, None] * np.log1p(-base * np.exp(grid))
+            fits = np.exp(fits - fits.max(1, keepdims=True))
+            out[k, at] = fits @ grid / fits.sum(1)
     return out
 
 
-def score(docs: DataFrame, model: np.ndarray, text: str = "text", seed: int = 7) -> DataFrame:
-    """docs plus log_ratio and key = log_ratio + NOISE * Gumbel noise (from seed and doc_id).
+def _both(docs: DataFrame, model: np.ndarray, text: str) -> DataFrame:
+    """docs plus _outside and _inside: the log ratio if the row is not of the target, and if it is."""
+    shipped = docs.sparkSession.sparkContext.broadcast(model)  # 2 x 2**BITS numbers
 
-    Null, empty and symbol-free texts have ratio 0.  Clashing columns are replaced.
-    """
-    shipped = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS numbers
-
-    @F.pandas_udf("double")
-    def ratio(column):
+    @F.pandas_udf("o double, i double")
+    def ratio(column: pd.Series) -> pd.DataFrame:
         texts = [t or b"" for t in column]
-        out = np.zeros(len(texts))
+        out = np.zeros((2, len(texts)))
         for _, g, own in grams(texts):
-            out += np.bincount(own, weights=shipped.value[g], minlength=len(texts))
-        import pandas as pd
+            for k in range(2):
+                out[k] += np.bincount(own, weights=shipped.value[k][g], minlength=len(texts))
+        return pd.DataFrame({"o": out[0], "i": out[1]})
+
+    return docs.withColumn("_r", ratio(F.col(text).cast("binary"))).withColumns({"_outside": F.col("_r.o"), "_inside": F.col("_r.i")}).drop("_r")
 
-        return pd.Series(out)
 
+def _noise(seed: int) -> Column:
     unit = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11) + 0.5) / F.lit(float(1 << 53))
-    return docs.withColumn("log_ratio", ratio(F.col(text).cast("binary"))).withColumn("key", F.col("log_ratio") - NOISE * F.log(-F.log(unit)))
+    return -0.2 * F.log(-F.log(unit))
+
+
+def score(docs: DataFrame, good: DataFrame, model: np.ndarray, text: str = "text", seed: int = 7) -> DataFrame:
+    """doc_id, log_ratio and key = log_ratio + Gumbel noise (from seed and doc_id) of each row of docs.
+
+    Null, empty and symbol-free texts have ratio 0.  Texts don't travel, only their ratios do.
+    """
+    both = _both(docs.select("doc_id", text), model, text).select("doc_id", "_outside", "_inside")
+    mark = _mark(good)
+    rows = both.join(mark, both["doc_id"] == mark["_id"], "left")
+    return rows.select("doc_id", F.when(F.col("_good"), F.col("_inside")).otherwise(F.col("_outside")).alias("log_ratio")).withColumn("key", F.col("log_ratio") + _noise(seed))
 
 
 def top(keyed: DataFrame, share: float, key: str = "key") -> float:
@@ -180,10 +213,14 @@ def _share(ratios_of: DataFrame, labels: DataFrame) -> float:
     return sum(r["count"] for r in rows if r["bin"] >= line) / every
 
 
+def _target(labels: DataFrame) -> DataFrame:
+    return labels.where("quality = 1 and coalesce(toxic, 0) = 0")
+
+
 def _cut(docs: DataFrame, labels: DataFrame, text: str, seed: int) -> tuple[np.ndarray, DataFrame, float]:
     """Model, (doc_id, log_ratio, key) of all documents, and the least key to keep."""
-    model = fit(docs, labels.where("quality = 1 and coalesce(toxic, 0) = 0"), text)
-    scored = shared.put(score(docs.select("doc_id", text), model, text, seed).select("doc_id", "log_ratio", "key"), "quality")
+    model = fit(docs, _target(labels), text)
+    scored = shared.put(score(docs, _target(labels), model, text, seed), "quality")
     return model, scored, top(scored, _share(scored, labels))
 
 
@@ -198,8 +235,11 @@ def classify(docs: DataFrame, labels: DataFrame, text: str = "text", seed: int =
 
 
 def resample(docs: DataFrame, labels: DataFrame, text: str = "text", seed: int = 7) -> DataFrame:
-    """Rows of docs that ``classify`` keeps, columns unchanged; texts are scored again rather than shuffled."""
+    """Rows of docs that ``classify`` keeps, columns unchanged; only rows that may be kept travel to meet their labels."""
     model, scored, line = _cut(docs, labels, text, seed)
     shared.drop(scored)
-    kept = score(docs.select(F.struct("*").alias("_row"), "doc_id", text), model, text, seed).where(F.col("key") >= line)
+    mark = _mark(_target(labels))
+    rows = _both(docs.select(F.struct("*").alias("_row"), "doc_id", text), model, text).drop(*{text} - {"doc_id"})
+    rows = rows.withColumn("_noise", _noise(seed)).where(F.col("_outside") + F.col("_noise") >= line)
+    kept = rows.join(mark, rows["doc_id"] == mark["_id"], "left").where(F.col("_good").isNull() | (F.col("_inside") + F.col("_noise") >= line))
     return kept.select(*[F.col("_row")[c].alias(c) for c in docs.columns])

@@ -286,6 +286,33 @@ def test_quality_catches_bad_texts(spark, nothing):
     assert quality.classify(nothing, marks).count() == 0
 
 
+@pytest.mark.parametrize("n", [2000, 6000])
+def test_quality_adds_up_rare_words(spark, n):
+    """Bad words of each language are compounds that stand in a few documents each; English ones are frequent."""
+    rng = random.Random(n)
+    vocab = {lang: ["".join(rng.choice(abc) for _ in range(4)) for _ in range(400)] for lang, abc in (("en", "abcdefgh"), ("de", "mnopqrst"))}
+    ends = ["".join(rng.choice("mnopqrst") for _ in range(3)) for _ in range(n // 100)]
+    rows, labels, kind = [], [], {}
+    for i in range(n):
+        lang, bad = "de" if i % 5 == 0 else "en", rng.random() < 0.15
+        w = [rng.choice(vocab[lang]) for _ in range(80)]
+        for k in rng.sample(range(80), 6) if bad else []:
+            w[k] = rng.choice(["idiotic", "scummy"]) if lang == "en" else "schimpf" + rng.choice(ends)
+        rows.append((i, " ".join(w)))
+        kind[i] = (lang, bad)
+        if rng.random() < 0.4:
+            labels.append((i, 1, int(bad)))
+    marks = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = {r.doc_id: r.kept for r in quality.classify(docs, marks).collect()}
+    named = {i for i, _, _ in labels}
+    for lang in ("en", "de"):
+        share = lambda bad, labelled: np.mean([got[i] for i, k in kind.items() if k == (lang, bad) and (i in named) == labelled])
+        assert share(True, True) < 0.1 and share(True, False) < 0.1
+        assert share(False, False) > 0.9 and abs(share(False, True) - share(False, False)) < 0.05
+    assert sorted(r.doc_id for r in quality.resample(docs, marks).select("doc_id").collect()) == sorted(i for i, k in got.items() if k)
+
+
 def test_top_is_exact(spark):
     rng = random.Random(1)
     keys = [rng.gauss(0, 1) ** 3 for _ in range(5000)] + [0.25] * 500
