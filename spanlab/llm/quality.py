@@ -98,13 +98,12 @@ def fit(docs: DataFrame, good: DataFrame, text: str = "text") -> np.ndarray:
     if text != "_text":
         docs = docs.select("doc_id", F.col(text).cast("binary").alias("_text"))
     flat = docs.join(mark, docs["doc_id"] == mark["_id"], "left").select("_text", F.coalesce("_good", F.lit(False)).alias("good"))
-    got = flat.mapInArrow(_count, "g int, t bigint, r bigint").groupBy("g").agg(F.sum("t").alias("t"), F.sum("r").alias("r")).toPandas()
+    got = flat.mapInArrow(_count, "g int, t bigint, r bigint").groupBy("g").agg(F.sum("t").alias("t"), F.sum("r").alias("r")).toArrow()
+    at, t, r = (got[c].to_numpy() for c in ("g", "t", "r"))  # Arrow columns: rows would take the driver's memory
+    if not (at >= 0).any() or not t[at < 0].sum():
+        return np.zeros((2, 1 << BITS), np.float32)
     counts = np.zeros((2, 1 << BITS))
-    total = got[got["g"] < 0]
-    got = got[got["g"] >= 0]
-    if not len(got) or not total["t"].sum():
-        return np.zeros((2, 1 << BITS))
-    counts[:, got["g"].to_numpy(int)] = got[["t", "r"]].to_numpy(float).T
+    counts[:, at[at >= 0]] = t[at >= 0], r[at >= 0]
     return ratios(*counts)
 
 
@@ -120,7 +119,7 @@ def ratios(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
     base = min(max(base, 1e-9), 1 - 1e-9)
     high = np.minimum(HIGH, -np.log(base) * np.array([0.4, 0.7]))
     grid = np.concatenate([LOW, [0.0], high])
-    out = np.zeros((2, len(raw)))
+    out = np.zeros((2, len(raw)), np.float32)
     quarter = len(raw) // 4
     for lo in range(0, len(seen), 1 << 16):
         at = seen[lo : lo + (1 << 16)]
@@ -152,7 +151,7 @@ def _both(docs: DataFrame, model: np.ndarray, text: str) -> DataFrame:
 
 def _noise(seed: int) -> Column:
     unit = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11) + 0.5) / F.lit(float(1 << 53))
-    return -0.2 * F.log(-F.log(unit))
+    return -F.log(-F.log(unit))
 
 
 def score(docs: DataFrame, good: DataFrame, model: np.ndarray, text: str = "text", seed: int = 7) -> DataFrame:

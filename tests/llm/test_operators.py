@@ -313,6 +313,15 @@ def test_quality_adds_up_rare_words(spark, n):
     assert sorted(r.doc_id for r in quality.resample(docs, marks).select("doc_id").collect()) == sorted(i for i, k in got.items() if k)
 
 
+def test_quality_samples_by_both_signs(spark):
+    raw = np.array([400.0, 400, 400, 400, 9, 0] + [0] * 10)
+    got = quality.ratios(np.array([130.0, 0, 260, 133, 1, 0] + [0] * 10), raw)
+    assert got[0, 1] < -4 and got[0, 2] > 0.4 and -0.1 < got[0, 4] < 0 and got[0, 5] == 0 and (got[1] <= got[0]).all()
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("").alias("text"))
+    noise = quality.score(docs, docs.limit(0), np.zeros((2, 1 << quality.BITS), np.float32)).select("key").toPandas()["key"]
+    assert abs(noise.mean() - 0.5772) < 0.05 and abs(noise.std() - math.pi / 6**0.5) < 0.05  # standard Gumbel
+
+
 def test_top_is_exact(spark):
     rng = random.Random(1)
     keys = [rng.gauss(0, 1) ** 3 for _ in range(5000)] + [0.25] * 500
