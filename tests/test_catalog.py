@@ -36,3 +36,21 @@ def test_query_equals_sql(spark, duck, name):
     assert sorted(got.columns) == sorted(want.columns)
     columns = sorted(got.columns)
     assert rows(got, columns) == rows(want, columns)
+
+
+def test_trained_scores_draws_from_all_citations(spark, monkeypatch):
+    """Every citation is a target, and the result equals a count and mean by hand over the scored tokens."""
+    from spanlab.operators import scoring
+    from spanlab.plans import train
+
+    seen, scored = [], []
+    whole, transform = train.train, scoring.MLScorer.transform
+    monkeypatch.setattr(train, "train", lambda base, targets, n, **k: seen.append((targets.count(), n)) or whole(base, targets, n, **k))
+    monkeypatch.setattr(scoring.MLScorer, "transform", lambda self, rows: scored.append(transform(self, rows)) or scored[-1])
+    got = {r.label: r for r in catalog.trained_scores(spark, str(DATA), n=60, held=20).collect()}
+    assert seen == [(catalog.citations(spark, str(DATA)).count(), 60)] and seen[0][0] > 200
+    assert all(0 <= r.mean_pos_prob <= 1 for r in got.values()) and got[1].mean_pos_prob + got[2].mean_pos_prob > 2 * got[0].mean_pos_prob
+    rows = scored[0].select("label", "p_b", "p_i").collect()
+    for label, r in got.items():
+        p = [x.p_b + x.p_i for x in rows if x.label == label]
+        assert len(p) == r.n and math.isclose(sum(p) / len(p), r.mean_pos_prob, rel_tol=1e-9)
