@@ -27,7 +27,8 @@ from . import shared
 from .npwords import U64, mix
 
 BLOCK_BYTES = 8 << 20
-BLOCK_SCHEMA = "block bigint, ids binary, lens binary, text binary"
+BLOCK_SCHEMA = "block bigint, first bigint, ids binary, lens binary, text binary"
+NO_ID = (1 << 63) - 1  # stands for a null doc_id inside a block, never in a result
 
 
 def squeeze(data: bytes) -> bytes:
@@ -87,35 +88,52 @@ def labels(parts: int) -> list[int]:
     return [found[i] for i in range(parts)]
 
 
-def _cutter(parts: int, block_bytes: int) -> Callable:
+#: A row's number: partition, block of the partition, row of the block.
+_PART_SHIFT, _MADE_SHIFT = 41, 22
+
+
+def _cutter(parts: int, block_bytes: int, rest: bool) -> Callable:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pid = TaskContext.get().partitionId()
         made, number = 0, pid << 32
         ids: list[int] = []
         texts: list[bytes] = []
+        slices: list[pa.RecordBatch] = []
         size = 0
 
         def row() -> pa.RecordBatch:
             nonlocal made, number
             while spark_hash(number, 8) % parts != (pid + made) % parts:
                 number += 1
-            out = pa.RecordBatch.from_pydict({
+            out = {
                 "block": pa.array([number], pa.int64()),
+                "first": pa.array([pid << _PART_SHIFT | made << _MADE_SHIFT], pa.int64()),
                 "ids": pa.array([np.array(ids, np.int64).tobytes()], pa.binary()),
                 "lens": pa.array([np.array([len(t) for t in texts], np.int64).tobytes()], pa.binary()),
                 "text": pa.array([squeeze(b"".join(texts))], pa.binary()),
-            })
+            }
+            if rest:
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, slices[0].schema) as to:
+                    for x in slices:
+                        to.write_batch(x)
+                out["rest"] = pa.array([squeeze(sink.getvalue().to_pybytes())], pa.binary())
             made, number = made + 1, number + 1
-            return out
+            return pa.RecordBatch.from_pydict(out)
 
         for batch in batches:
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            others = batch.select(batch.schema.names[2:])
+            lo = 0
+            for k, (i, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
                 ids.append(i)
                 texts.append(t or b"")
                 size += len(texts[-1]) + 16
                 if size >= block_bytes:
+                    slices.append(others.slice(lo, k + 1 - lo))
                     yield row()
-                    ids, texts, size = [], [], 0
+                    ids, texts, slices, size, lo = [], [], [], 0, k + 1
+            if lo < batch.num_rows:
+                slices.append(others.slice(lo))
         if ids:
             yield row()
 
@@ -123,23 +141,78 @@ def _cutter(parts: int, block_bytes: int) -> Callable:
 
 
 class Blocks:
-    """Texts of a table in blocks.  ``df`` has one row per block; ``close`` removes the table."""
+    """Texts of a table in blocks; ``df`` has one row per block.  A context manager: the table goes at its end.
+
+    Rows are known by block and place (``rows``), so results find back to them without a join on ids, which may
+    be null or repeated.  With ``rest`` the blocks hold all columns of docs, and ``emit`` gives rows back.
+    """
 
-    def __init__(self, docs: DataFrame, block_bytes: int = BLOCK_BYTES):
-        """docs: doc_id bigint (not null) and text string (null: empty), one row per document."""
+    def __init__(self, docs: DataFrame, block_bytes: int = BLOCK_BYTES, rest: bool = False, text: str = "text"):
+        """docs: doc_id (null: NO_ID) and a text column (null: empty)."""
         spark = docs.sparkSession
-        self.spark, self.parts = spark, shared.tasks(docs)
+        self.spark, self.parts, self.docs, self.text = spark, shared.tasks(docs), docs, text
         self.name = f"spanlab_blocks_{uuid.uuid4().hex}"
         self.path = f"{shared.folder(spark)}/{self.name}"
-        flat = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("binary"))
-        (flat.mapInArrow(_cutter(self.parts, block_bytes), BLOCK_SCHEMA)
-         .write.bucketBy(self.parts, "block").option("path", self.path).option("compression", "none").saveAsTable(self.name))
+        others = [c for c in docs.columns if c != text] if rest else []
+        flat = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("_i"), F.col(text).cast("binary").alias("_t"),
+                           *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(others)], *[F.col(text).isNull().alias("_null")] * rest)
+        try:
+            (flat.mapInArrow(_cutter(self.parts, block_bytes, rest), BLOCK_SCHEMA + ", rest binary" * rest)
+             .write.bucketBy(self.parts, "block").option("path", self.path).option("compression", "none").saveAsTable(self.name))
+        except BaseException:
+            self.close()
+            raise
         self.df = spark.table(self.name)
 
+    def __enter__(self) -> Blocks:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
     def close(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
         shared.delete(self.spark, self.path)
 
+    def rows(self) -> DataFrame:
+        """block, row, uid (unique), doc_id (null where docs have none) of each row; reads no texts."""
+        def run(batches):
+            for r in rows(batches):
+                ids = np.frombuffer(r["ids"], np.int64)
+                place = np.arange(len(ids))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), r["block"])), pa.array(place, pa.int32()), pa.array(place + r["first"]),
+                                                  pa.array(ids, mask=ids == NO_ID)], ["block", "row", "uid", "doc_id"])
+
+        return self.df.select("block", "first", "ids").mapInArrow(run, "block bigint, row int, uid bigint, doc_id bigint")
+
+    def told(self, facts: DataFrame, *names: str) -> DataFrame:
+        """df plus ``told``: an array of (row, names) for each block, from rows (block, row, names); blocks without any have null."""
+        per = facts.groupBy("block").agg(F.collect_list(F.struct("row", *names)).alias("told"))
+        return self.df.join(per, "block", "left")
+
+    def emit(self, kept: DataFrame) -> DataFrame:
+        """The rows of docs that kept (block, row) names, with all their columns."""
+        columns, text, schema = self.docs.columns, self.text, self.docs.schema
+
+        def run(batches):
+            for r in rows(batches):
+                if r["told"]:
+                    texts = unpack_block(r)[1]
+                    yield restore(r, texts, sorted(x["row"] for x in r["told"]), columns, text)
+
+        return self.told(kept).mapInArrow(run, schema)
+
+
+def restore(r: dict, texts: list[bytes], keep: list[int], columns: list[str], text: str) -> pa.RecordBatch:
+    """Rows of a block with all columns of the table it was made of, and these texts."""
+    table = pa.ipc.open_stream(expand(r["rest"])).read_all().take(keep).combine_chunks()
+    null = table.column("_null").to_pylist()
+    column = pa.array([None if n else texts[i] for i, n in zip(keep, null)], pa.binary()).view(pa.string())
+    others = iter(table.columns)
+    made = [column if c == text else next(others) for c in columns]
+    made = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in made]
+    return pa.RecordBatch.from_arrays([c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in made], columns)
+
 
 def unpack_block(row: dict) -> tuple[np.ndarray, list[bytes]]:
     """doc_ids and texts of a block row."""
@@ -158,9 +231,10 @@ def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 
 def bucket_order(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     """Order of sorted keys by (bucket, key), and the bounds of each bucket in it."""
-    bucket = (mix(keys ^ U64(0x5A5A_1234_9E37_79B9)) % U64(parts)).astype(np.int64)
+    kind = np.uint16 if parts <= 1 << 16 else np.int64  # 16-bit numbers are sorted by radix
+    bucket = (mix(keys ^ U64(0x5A5A_1234_9E37_79B9)) % U64(parts)).astype(kind)
     order = np.argsort(bucket, kind="stable")
-    return order, np.searchsorted(bucket[order], np.arange(parts + 1))
+    return order, np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=parts))])
 
 
 MESSAGE = "kind int, label int, bucket int, block bigint, k binary, v binary"
@@ -238,9 +312,10 @@ def total(replies: DataFrame) -> np.ndarray:
 
 def merged(ks: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
     """Sorted distinct keys of all messages, and the place of each message's keys among them."""
-    every = np.concatenate(ks)
-    u, inverse = np.unique(every, return_inverse=True)
-    return u, np.split(inverse, np.cumsum([len(k) for k in ks])[:-1])
+    u = np.sort(np.concatenate(ks))  # a sort of numbers is many times as fast as one of places
+    if len(u):
+        u = u[np.concatenate([[True], u[1:] != u[:-1]])]
+    return u, [np.searchsorted(u, k) for k in ks]
 
 
 def answered(keys: np.ndarray, answers: list[dict] | None, parts: int, width: int) -> np.ndarray:

@@ -7,6 +7,9 @@ follows from the ratio that best parts the labelled good from the other rows.
 
 The ratio of a gram is its posterior mean, so rare grams count for little each
 but add up; a text's own occurrence is left out, so labels don't favour it.
+
+Texts are written once as blocks; labels meet the blocks' document ids, never
+texts, and tasks send each other only packed slices of the two count vectors.
 """
 
 from __future__ import annotations
@@ -14,11 +17,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import blocks as B
 from . import shared
 from .npwords import _FOLD, U64, mix, pack, slices, span_hashes
 
@@ -70,41 +74,82 @@ def grams(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield a, key & ((1 << BITS) - 1), a + (key >> BITS)
 
 
+SLICES = 64
+#: Tasks' counts of a slice are added by this many tasks first.
+SALTS = 16
+_COUNTS = "slice int, salt int, n bigint, t bigint, counts binary"
+
+
+def _packed(total: np.ndarray, texts: np.ndarray, salt: int) -> Iterator[pa.RecordBatch]:
+    """Slices of the (2, 2**BITS) counts that hold any; the first also tells how many texts there were, of the target and in all."""
+    width = total.shape[1] // SLICES
+    for k in range(SLICES):
+        own = np.ascontiguousarray(total[:, k * width:(k + 1) * width])
+        if k == 0 or own.any():
+            yield pa.RecordBatch.from_pydict({"slice": pa.array([k], pa.int32()), "salt": pa.array([salt], pa.int32()), "n": pa.array([int(texts[1]) if k == 0 else 0]),
+                                              "t": pa.array([int(texts[0]) if k == 0 else 0]), "counts": pa.array([B.pack_array(own)], pa.binary())})
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros((2, 1 << BITS), np.int64)
-    texts_seen = np.zeros(2, np.int64)
-    for batch in batches:
-        texts = [t or b"" for t in batch.column(0).to_pylist()]
-        good = np.array(batch.column(1).to_pylist(), bool)
-        texts_seen += [good.sum(), len(good)]
+    total, seen = np.zeros((2, 1 << BITS), np.int64), np.zeros(2, np.int64)
+    for row in B.rows(batches):
+        _, texts = B.unpack_block(row)
+        good = _flags(row, len(texts))[0]
+        seen += [good.sum(), len(good)]
         for _, g, own in grams(texts):
             total[1] += np.bincount(g, minlength=1 << BITS)
             total[0] += np.bincount(g[good[own]], minlength=1 << BITS)
-    at = np.flatnonzero(total[1])
-    yield pa.RecordBatch.from_pydict({"g": pa.array(np.append(at, -1), pa.int32()), "t": pa.array(np.append(total[0, at], texts_seen[0])), "r": pa.array(np.append(total[1, at], texts_seen[1]))})
+    yield from _packed(total, seen, TaskContext.get().partitionId() % SALTS)
+
+
+def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per slice of the partition: at most the whole model is held."""
+    sums: dict[int, list] = {}
+    for row in B.rows(batches):
+        counts = B.unpack_array(row["counts"], np.int64)
+        if row["slice"] in sums:
+            own = sums[row["slice"]]
+            own[0] += row["n"]
+            own[1] += row["t"]
+            own[2] += counts
+        else:
+            sums[row["slice"]] = [row["n"], row["t"], counts.copy()]
+    for k, (n, t, counts) in sums.items():
+        yield pa.RecordBatch.from_pydict({"slice": pa.array([k], pa.int32()), "salt": pa.array([0], pa.int32()), "n": pa.array([n]), "t": pa.array([t]), "counts": pa.array([B.pack_array(counts)], pa.binary())})
+
+
+def _flags(row: dict, n: int) -> np.ndarray:
+    """Masks of a block's rows: of the target; labelled but not of the target."""
+    out = np.zeros((2, n), bool)
+    for x in row["told"] or []:
+        out[0 if x["good"] else 1, x["row"]] = True
+    return out
 
 
-def _mark(good: DataFrame) -> DataFrame:
-    return good.select(F.col("doc_id").alias("_id")).where("_id is not null").distinct().withColumn("_good", F.lit(True))
+def marked(store: B.Blocks, labels: DataFrame) -> DataFrame:
+    """The blocks, each told which of its rows are labelled: good if any label of the doc_id is quality 1 and not toxic.
+
+    Rows without a label, with a null doc_id or whose labels have no quality are not told.
+    """
+    good = F.coalesce((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), F.lit(False))
+    one = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max(good).alias("good"))
+    return store.told(store.rows().where("doc_id is not null").join(one, "doc_id"), "good")
 
 
-def fit(docs: DataFrame, good: DataFrame, text: str = "text") -> np.ndarray:
-    """Log ratio of each n-gram bucket, target against raw, over all documents; ``good`` has the doc_ids of the target.
+def fit(blocks: DataFrame) -> np.ndarray:
+    """Log ratio of each n-gram bucket, target against raw, over all rows of marked().
 
     A gram counts once per text.  The model has 2 x 2**BITS numbers whatever the input, for texts outside and of
     the target; without target texts all are 0.
     """
-    mark = _mark(good)
-    if text != "_text":
-        docs = docs.select("doc_id", F.col(text).cast("binary").alias("_text"))
-    flat = docs.join(mark, docs["doc_id"] == mark["_id"], "left").select("_text", F.coalesce("_good", F.lit(False)).alias("good"))
-    got = flat.mapInArrow(_count, "g int, t bigint, r bigint").groupBy("g").agg(F.sum("t").alias("t"), F.sum("r").alias("r")).toArrow()
-    at, t, r = (got[c].to_numpy() for c in ("g", "t", "r"))  # Arrow columns: rows would take the driver's memory
-    if not (at >= 0).any() or not t[at < 0].sum():
+    some = blocks.select("ids", "lens", "text", "told").mapInArrow(_count, _COUNTS).repartition(SLICES, "slice", "salt").mapInArrow(_add, _COUNTS)
+    rows = some.repartition(SLICES, "slice").mapInArrow(_add, _COUNTS).collect()  # SLICES packed rows
+    if not sum(r["t"] for r in rows):
         return np.zeros((2, 1 << BITS), np.float32)
-    counts = np.zeros((2, 1 << BITS))
-    counts[:, at[at >= 0]] = t[at >= 0], r[at >= 0]
-    return ratios(*counts)
+    counts = np.zeros((2, SLICES, (1 << BITS) // SLICES))
+    for r in rows:
+        counts[:, r["slice"]] = B.unpack_array(bytes(r["counts"]), np.int64).reshape(2, -1)
+    return ratios(*counts.reshape(2, -1))
 
 
 def ratios(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
@@ -133,20 +178,12 @@ def ratios(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
     return out
 
 
-def _both(docs: DataFrame, model: np.ndarray, text: str) -> DataFrame:
-    """docs plus _outside and _inside: the log ratio if the row is not of the target, and if it is."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)  # 2 x 2**BITS numbers
-
-    @F.pandas_udf("o double, i double")
-    def ratio(column: pd.Series) -> pd.DataFrame:
-        texts = [t or b"" for t in column]
-        out = np.zeros((2, len(texts)))
-        for _, g, own in grams(texts):
-            for k in range(2):
-                out[k] += np.bincount(own, weights=shipped.value[k][g], minlength=len(texts))
-        return pd.DataFrame({"o": out[0], "i": out[1]})
-
-    return docs.withColumn("_r", ratio(F.col(text).cast("binary"))).withColumns({"_outside": F.col("_r.o"), "_inside": F.col("_r.i")}).drop("_r")
+def log_ratios(texts: list[bytes], target: np.ndarray, model: np.ndarray) -> np.ndarray:
+    """Sum of the log ratios of each text's grams; target: which texts are of the target.  Empty texts: 0."""
+    out = np.zeros(len(texts))
+    for _, g, own in grams(texts):
+        out += np.bincount(own, weights=model[target[own].astype(np.int64), g], minlength=len(texts))
+    return out
 
 
 def _noise(seed: int) -> Column:
@@ -154,15 +191,20 @@ def _noise(seed: int) -> Column:
     return -F.log(-F.log(unit))
 
 
-def score(docs: DataFrame, good: DataFrame, model: np.ndarray, text: str = "text", seed: int = 7) -> DataFrame:
-    """doc_id, log_ratio and key = log_ratio + Gumbel noise (from seed and doc_id) of each row of docs.
+def score(blocks: DataFrame, model: np.ndarray, seed: int = 7) -> DataFrame:
+    """block, row, doc_id, good (null: no label), log_ratio, and key = log_ratio + standard Gumbel noise (from seed and doc_id)."""
+    shipped = blocks.sparkSession.sparkContext.broadcast(model)  # 2 x 2**BITS numbers
 
-    Null, empty and symbol-free texts have ratio 0.  Texts don't travel, only their ratios do.
-    """
-    both = _both(docs.select("doc_id", text), model, text).select("doc_id", "_outside", "_inside")
-    mark = _mark(good)
-    rows = both.join(mark, both["doc_id"] == mark["_id"], "left")
-    return rows.select("doc_id", F.when(F.col("_good"), F.col("_inside")).otherwise(F.col("_outside")).alias("log_ratio")).withColumn("key", F.col("log_ratio") + _noise(seed))
+    def run(batches):
+        for row in B.rows(batches):
+            ids, texts = B.unpack_block(row)
+            good, bad = _flags(row, len(texts))
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.full(len(ids), row["block"])), pa.array(np.arange(len(ids)), pa.int32()), pa.array(ids, mask=ids == B.NO_ID),
+                pa.array(good, mask=~(good | bad)), pa.array(log_ratios(texts, good, shipped.value))], ["block", "row", "doc_id", "good", "log_ratio"])
+
+    got = blocks.select("block", "ids", "lens", "text", "told").mapInArrow(run, "block bigint, row int, doc_id bigint, good boolean, log_ratio double")
+    return got.withColumn("key", F.col("log_ratio") + _noise(seed))
 
 
 def top(keyed: DataFrame, share: float, key: str = "key") -> float:
@@ -190,14 +232,13 @@ def top(keyed: DataFrame, share: float, key: str = "key") -> float:
     return lo
 
 
-def _share(ratios_of: DataFrame, labels: DataFrame) -> float:
+def _share(scored: DataFrame) -> float:
     """Share of documents to keep: those above the ratio that parts labelled target rows from the others best.
 
     Histograms of 4096 bins; without both kinds of labelled rows all are kept.
     """
-    kind = labels.where("quality is not null and doc_id is not null").select(F.col("doc_id").alias("_id"), ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("good"))
-    step = F.ceil(F.greatest(F.col("log_ratio"), F.lit(-64.0)) * 64).cast("int")  # 0 is a bin of its own
-    rows = ratios_of.join(kind, ratios_of["doc_id"] == kind["_id"], "left").groupBy(step.alias("bin"), "good").count().collect()
+    step = F.ceil(F.greatest(F.least("log_ratio", F.lit(64.0)), F.lit(-64.0)) * 32).cast("int")  # 0 is a bin of its own
+    rows = scored.groupBy(step.alias("bin"), "good").count().collect()  # three kinds of row in at most 4097 bins
     good, bad, every = (sum(r["count"] for r in rows if test(r["good"])) for test in (lambda g: g is True, lambda g: g is False, lambda g: True))
     if not good or not bad:
         return 1.0
@@ -212,33 +253,31 @@ def _share(ratios_of: DataFrame, labels: DataFrame) -> float:
     return sum(r["count"] for r in rows if r["bin"] >= line) / every
 
 
-def _target(labels: DataFrame) -> DataFrame:
-    return labels.where("quality = 1 and coalesce(toxic, 0) = 0")
-
-
-def _cut(docs: DataFrame, labels: DataFrame, text: str, seed: int) -> tuple[np.ndarray, DataFrame, float]:
-    """Model, (doc_id, log_ratio, key) of all documents, and the least key to keep."""
-    model = fit(docs, _target(labels), text)
-    scored = shared.put(score(docs, _target(labels), model, text, seed), "quality")
-    return model, scored, top(scored, _share(scored, labels))
+def _cut(store: B.Blocks, labels: DataFrame, seed: int) -> tuple[DataFrame, float]:
+    """score() of all rows, written, and the least key to keep."""
+    blocks = marked(store, labels)
+    scored = shared.put(score(blocks, fit(blocks), seed), "quality")
+    return scored, top(scored, _share(scored))
 
 
-def classify(docs: DataFrame, labels: DataFrame, text: str = "text", seed: int = 7) -> DataFrame:
-    """doc_id, log_ratio, key and kept of each row of docs.
+def classify(docs: DataFrame, labels: DataFrame, text: str = "text", seed: int = 7, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
+    """doc_id, log_ratio, key and kept of each row of docs; other columns are ignored.
 
-    Target: labelled quality 1 and not toxic.  How many are kept follows from
-    the labelled rows; without labels of both kinds all are.
+    Target: rows whose doc_id is labelled quality 1 and not toxic.  How many
+    are kept follows from the labelled rows; without labels of both kinds all
+    are.  Null, empty and symbol-free texts have ratio 0.  A null doc_id has no
+    label and comes back null.  Repeated rows are scored alike.  An empty table
+    gives none.
     """
-    _, scored, line = _cut(docs, labels, text, seed)
-    return scored.withColumn("kept", F.col("key") >= line)
+    with B.Blocks(docs.select("doc_id", text), block_bytes, text=text) as store:
+        scored, line = _cut(store, labels, seed)
+    return scored.select("doc_id", "log_ratio", "key", (F.col("key") >= line).alias("kept"))
 
 
-def resample(docs: DataFrame, labels: DataFrame, text: str = "text", seed: int = 7) -> DataFrame:
-    """Rows of docs that ``classify`` keeps, columns unchanged; only rows that may be kept travel to meet their labels."""
-    model, scored, line = _cut(docs, labels, text, seed)
+def resample(docs: DataFrame, labels: DataFrame, text: str = "text", seed: int = 7, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
+    """Rows of docs that ``classify`` keeps, columns unchanged; blocks are told which of their rows stay."""
+    with B.Blocks(docs, block_bytes, rest=True, text=text) as store:
+        scored, line = _cut(store, labels, seed)
+        kept = shared.put(store.emit(scored.where(F.col("key") >= line).select("block", "row")), "kept")
     shared.drop(scored)
-    mark = _mark(_target(labels))
-    rows = _both(docs.select(F.struct("*").alias("_row"), "doc_id", text), model, text).drop(*{text} - {"doc_id"})
-    rows = rows.withColumn("_noise", _noise(seed)).where(F.col("_outside") + F.col("_noise") >= line)
-    kept = rows.join(mark, rows["doc_id"] == mark["_id"], "left").where(F.col("_good").isNull() | (F.col("_inside") + F.col("_noise") >= line))
-    return kept.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
+    return kept

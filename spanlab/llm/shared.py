@@ -8,20 +8,30 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_own: dict[str, str] = {}  # folders made for local sessions, by application
+
+
 def folder(spark: SparkSession) -> str:
-    """The shared checkpoint folder; only where none is set (tests, one machine) a local one is made."""
+    """The shared checkpoint folder (spark.checkpoint.dir).
+
+    Where none is set, a session on this machine alone (local master) gets a
+    folder of its own; on a cluster that is an error, as machines don't share
+    their disks.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='spanlab-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    return _own.setdefault(spark.sparkContext.applicationId, f"file://{tempfile.mkdtemp(prefix='spanlab-')}")
 
 
 def put(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and return a reader of it: lineage ends here."""
     path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    schema = df.schema
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)
 
 
 def delete(spark: SparkSession, path: str) -> None:
