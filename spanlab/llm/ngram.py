@@ -23,7 +23,7 @@ from . import shared
 from .npwords import U64, words
 
 START, END = U64(0x51A7_0000_0000_0001), U64(0x51A7_0000_0000_0002)
-NO_ID = np.iinfo(np.int64).max
+NO_ID = B.NO_ID
 
 
 def held_out(ids: np.ndarray) -> np.ndarray:
@@ -86,8 +86,7 @@ def score(docs: DataFrame, held: Callable[[np.ndarray], np.ndarray] = held_out,
     Repeated rows count as often as they stand there.  Without training rows
     all words are equally (un)likely.  Other columns of docs are ignored.
     """
-    base = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(int(NO_ID))).alias("doc_id"), "text")
-    store = B.Blocks(base, block_bytes)
+    store = B.Blocks(docs.select("doc_id", "text"), block_bytes)
     parts = store.parts
 
     def trained(ids, first):

@@ -23,7 +23,7 @@ from . import shared
 from .npwords import U64, mix, pack, slices
 
 WINDOW, GRAM = 50, 16
-NO_ID = np.iinfo(np.int64).max  # a null doc_id: after all others
+NO_ID = B.NO_ID  # a null doc_id: after all others
 
 
 def least_hashes(buf: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -228,17 +228,30 @@ class _Plan:
         self.bound = np.searchsorted(bucket[self.order], np.arange(fine + 1))
 
 
-def mark(docs: DataFrame, window: int = WINDOW, keep_text: bool = False, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and spans, kept binary if keep_text) of each row of docs.
+def whole_characters(text: bytes, edge: np.ndarray) -> np.ndarray:
+    """Spans (start, end, start, end, ...) of UTF-8 text, widened to whole characters; those that meet are joined."""
+    out: list[int] = []
+    for a, b in zip(edge[0::2].tolist(), edge[1::2].tolist()):
+        while 0 < a < len(text) and text[a] & 0xC0 == 0x80:
+            a -= 1
+        while b < len(text) and text[b] & 0xC0 == 0x80:
+            b += 1
+        if out and a <= out[-1]:
+            out[-1] = max(b, out[-1])
+        else:
+            out += [a, b]
+    return np.array(out, np.int64)
 
-    Null texts count as empty.  A null doc_id counts as larger than all others
-    and comes back null; rows with one doc_id are one document: they don't
-    remove each other's strings.  Texts under the window lose nothing.  Other
-    columns of docs are ignored.
-    """
-    base = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(int(NO_ID))).alias("doc_id"), "text")
-    store = B.Blocks(base, block_bytes)
-    parts = store.parts
+
+def without(text: bytes, edge: np.ndarray) -> bytes:
+    """text without these spans."""
+    cut = edge.tolist()
+    return b"".join(text[a:b] for a, b in zip([0, *cut[1::2]], [*cut[0::2], len(text)]))
+
+
+def _covered(store: B.Blocks, window: int, made, schema) -> DataFrame:
+    """made(block row, ids, texts, spans of each text) -> record batch, for each block; written."""
+    docs, parts = store.docs, store.parts
     fine = max(parts, 4 * docs.rdd.getNumPartitions())  # stretches are longer than keys: smaller buckets
     label = B.labels(fine)
     common = shared.put(B.by_block(B.ask(store.df, parts, _ask_keys(window), _shared_keys), "common"), "common")
@@ -273,7 +286,8 @@ def mark(docs: DataFrame, window: int = WINDOW, keep_text: bool = False, block_b
             at += n
 
     joined = store.df.join(common, "block", "left")
-    hits = B.by_block(joined.mapInArrow(send, B.MESSAGE).repartition(fine, "label").mapInArrow(reply, B.MESSAGE), "hits")
+    asked = joined.select("block", "ids", "lens", "text", "common")
+    hits = B.by_block(asked.mapInArrow(send, B.MESSAGE).repartition(fine, "label").mapInArrow(reply, B.MESSAGE), "hits")
 
     def finish(batches):
         for row in B.rows(batches):
@@ -298,24 +312,48 @@ def mark(docs: DataFrame, window: int = WINDOW, keep_text: bool = False, block_b
                     if len(spot):
                         np.add.at(cover[o], spot, 1)
                         np.add.at(cover[o], spot + window, -1)
-            out = {"doc_id": [], "n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": []} | ({"spans": [], "kept": []} if keep_text else {})
-            for i, t, c in zip(p.ids.tolist(), p.texts, cover):
+            spans = []
+            for c in cover:
                 gone = np.cumsum(c)[:-1] > 0
-                kept = np.frombuffer(t, np.uint8)[~gone].tobytes() if gone.any() else t
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
-                out["doc_id"].append(None if i == NO_ID else i)
-                out["n_bytes"].append(len(t))
-                out["n_removed"].append(len(t) - len(kept))
-                out["n_spans"].append(len(edge) // 2)
-                out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
-                if keep_text:
-                    out["spans"].append(edge.tolist())
-                    out["kept"].append(kept)
-            kinds = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.int64()), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds)], list(out))
+                spans.append(np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))))
+            yield made(row, p.ids, p.texts, spans)
 
-    schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", spans array<bigint>, kept binary" * keep_text
     done = shared.put(joined.join(hits, "block", "left").mapInArrow(finish, schema), "kept")
-    store.close()
     shared.drop(common)
     return done
+
+
+def mark(docs: DataFrame, window: int = WINDOW, keep_text: bool = False, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and spans, kept binary if keep_text) of each row of docs.
+
+    Null texts count as empty.  A null doc_id counts as larger than all others
+    and comes back null; rows with one doc_id are one document: they don't
+    remove each other's strings.  Texts under the window lose nothing.  Other
+    columns of docs are ignored.  An empty table gives none.
+    """
+    def made(row, ids, texts, spans):
+        kept = [without(t, e) if len(e) else t for t, e in zip(texts, spans)]
+        columns = [pa.array(ids, mask=ids == NO_ID), pa.array([len(t) for t in texts], pa.int64()), pa.array([len(t) - len(k) for t, k in zip(texts, kept)], pa.int64()),
+                   pa.array([len(e) // 2 for e in spans], pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept])]
+        if keep_text:
+            columns += [pa.array([e.tolist() for e in spans], pa.list_(pa.int64())), pa.array(kept, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"][:len(columns)])
+
+    schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", spans array<bigint>, kept binary" * keep_text
+    with B.Blocks(docs.select("doc_id", "text"), block_bytes) as store:
+        return _covered(store, window, made, schema)
+
+
+def cut(docs: DataFrame, window: int = WINDOW, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
+    """docs with what ``mark`` finds cut out of their texts, together with characters that would be cut in half; other columns unchanged.
+
+    Rows stay as many; a null text stays null, and a text that loses nothing is the same to the byte.
+    """
+    columns = docs.columns
+
+    def made(row, ids, texts, spans):
+        kept = [without(t, whole_characters(t, e)) if len(e) else t for t, e in zip(texts, spans)]
+        return B.restore(row, kept, list(range(len(kept))), columns, "text")
+
+    with B.Blocks(docs, block_bytes, rest=True) as store:
+        return _covered(store, window, made, docs.schema)
