@@ -35,29 +35,29 @@ def paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     """messages (node, parent, score, ...) -> (leaf, node, depth): the nodes of each chosen root-to-leaf path.
 
     node: unique and not null.  A null or unknown parent makes a root.  Ties in
-    score go to the smaller node.  Nodes on a cycle have no root and are left out.
+    score go to the smaller node.  Nodes on a cycle or below one have no root and
+    are left out.  Other columns are ignored; an empty table gives none.
     """
     base = messages.select("node", "parent", "score")
     known = base.select(F.col("node").alias("_p"))
-    rank = F.row_number().over(W.partitionBy("parent").orderBy(F.col("score").desc_nulls_last(), "node"))
     tree = base.join(known, base["parent"] == known["_p"], "left").select("node", F.col("_p").alias("parent"), "score")
-    # roots are not siblings of each other, so they are ranked apart from the others
-    ranked = tree.where("parent is not null").withColumn("ok", rank <= branches).select("node", "parent", "ok").unionByName(
-        tree.where("parent is null").select("node", "parent", F.lit(True).alias("ok")))
-    inner = ranked.where("parent is not null").select(F.col("parent").alias("_c")).distinct()
-    first = shared.put(ranked.join(inner, ranked["node"] == inner["_c"], "left").select(
-        "node", F.col("parent").alias("up"), "ok", F.col("_c").isNull().alias("leaf"),
-        F.when(F.col("parent").isNull(), 0).otherwise(1).cast("bigint").alias("steps")), "tree")
-    jumps, now = [], first
-    while not now.where("up is not null").isEmpty() and len(jumps) < 64:
+    place = F.row_number().over(W.partitionBy("parent").orderBy(F.col("score").desc_nulls_last(), "node"))
+    # only the best children go on, so a parent of very many meets few of them; roots are not siblings of each other
+    best = tree.where("parent is not null").withColumn("_r", place).where(F.col("_r") <= branches).select("node", "parent")
+    kept = best.unionByName(tree.where("parent is null").select("node", "parent"))
+    inner = tree.where("parent is not null").select(F.col("parent").alias("_c")).distinct()
+    now = shared.put(kept.join(inner, kept["node"] == inner["_c"], "left").select(
+        "node", F.col("parent").alias("up"), F.col("_c").isNull().alias("leaf"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("bigint").alias("steps")), "tree")
+    longest = now.count().bit_length()  # rounds after which only nodes on a cycle, or below one, can be short of a root
+    jumps = []
+    while len(jumps) <= longest and not now.where("up is not null").isEmpty():
         jumps.append(now.select("node", "up").where("up is not null"))
-        far = now.select(F.col("node").alias("_n"), F.col("up").alias("_u"), F.col("ok").alias("_k"), F.col("steps").alias("_s"))
-        # only nodes that haven't reached their root look further up
+        far = now.select(F.col("node").alias("_n"), F.col("up").alias("_u"), F.col("steps").alias("_s"))
+        # only nodes that haven't reached their root look further up; below a node that was not chosen there is nothing
         moved = now.where("up is not null").join(far, F.col("up") == F.col("_n")).select(
-            "node", F.col("_u").alias("up"), (F.col("ok") & F.col("_k")).alias("ok"), "leaf", (F.col("steps") + F.col("_s")).alias("steps"))
+            "node", F.col("_u").alias("up"), "leaf", (F.col("steps") + F.col("_s")).alias("steps"))
         now = shared.put(now.where("up is null").unionByName(moved), "tree")
-    ended = now.where("up is null")
-    out = ended.where("ok and leaf").select(F.col("node").alias("leaf"), "node", F.col("steps").alias("depth"))
+    out = now.where("up is null and leaf").select(F.col("node").alias("leaf"), "node", F.col("steps").alias("depth"))
     for k in range(len(jumps) - 1, -1, -1):
         j = jumps[k].select(F.col("node").alias("_n"), "up")
         # written at each round: the plan would double with every union

@@ -21,6 +21,7 @@ from .npwords import _FOLD, _SPACE, U64, mix, pack, slices, word_bounds
 
 BITS = 15
 ROUNDS = 8
+MOST_LANGS = 200  # languages of a model: it is sent to all workers whole, 128 KB each
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -53,8 +54,12 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[s
     """Languages in order, and log probabilities (language, bucket) from all rows with text and lang.
 
     The model has 2**BITS numbers per language.  No such row: no language.
+    Over MOST_LANGS labels are no language labels: that raises ValueError
+    before anything is gathered.
     """
     known = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).cast("binary"), F.col(lang).cast("string"))
+    if known.select(lang).distinct().limit(MOST_LANGS + 1).count() > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} different labels in {lang}")
     got = known.mapInArrow(_count, "lang string, g int, n bigint").groupBy("lang", "g").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(got["lang"].unique())
     counts = np.full((len(langs), 1 << BITS), 0.5)
@@ -115,7 +120,12 @@ def identify(texts: list[bytes], langs: list[str], model: np.ndarray) -> tuple[n
 
 
 def predict(docs: DataFrame, langs: list[str], model: np.ndarray, text: str = "text") -> DataFrame:
-    """docs plus lang_pred, score and n_langs.  Null texts and texts without a letter (or no language learned): und, 0, 0."""
+    """docs plus lang_pred, score and n_langs.  Null texts and texts without a letter (or no language learned): und, 0, 0.
+
+    Columns of docs that clash with the new ones are replaced (text may be one of them).  Repeated rows are
+    predicted alike; an empty table gives none.
+    """
+    made = ["lang_pred", "score", "n_langs"]
     shipped = docs.sparkSession.sparkContext.broadcast((langs, model))  # 2**BITS numbers per language
 
     @F.pandas_udf("lang_pred string, score double, n_langs int")
@@ -130,4 +140,5 @@ def predict(docs: DataFrame, langs: list[str], model: np.ndarray, text: str = "t
             out.loc[known, "n_langs"] = kept
         return out
 
-    return docs.withColumn("_l", run(text)).select("*", "_l.*").drop("_l")
+    keep = [F.col(f"`{c}`") for c in docs.columns if c not in made]
+    return docs.select(*keep, run(F.col(f"`{text}`")).alias("_language")).select(*keep, *[F.col(f"_language.{c}") for c in made])

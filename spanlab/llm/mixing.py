@@ -60,7 +60,7 @@ def sizes(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def _unit(a: Column, b: Column, seed: int) -> Column:
     """A number in [0, 1) that follows from the pair."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), a["doc_id"], a["h"], b["doc_id"], b["h"]), 11) / F.lit(float(1 << 53))
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), a["doc_id"], a["h"], a["r"], b["doc_id"], b["h"], b["r"]), 11) / F.lit(float(1 << 53))
 
 
 def _step(state: Column, item: Column, seed: int) -> Column:
@@ -88,46 +88,54 @@ def _step(state: Column, item: Column, seed: int) -> Column:
 
 
 def plan(rows: DataFrame, seed: int = 17) -> DataFrame:
-    """rows of sizes() -> the same rows plus source_size, target, copies (bigint).
+    """rows of sizes() -> the same rows plus r, source_size, target, copies (bigint).
 
-    A source without words has target 0 and takes nothing.  Repeated rows stay
-    separate; equal rows may get different copies.  An empty table gives none.
+    A source without words has target 0 and takes nothing.  Rows that are equal
+    in all four columns are numbered by r and decided one by one, in cells of
+    their own, so they may get different copies.  A null doc_id is an id like
+    any other.  An empty table gives none.
     """
     spark = rows.sparkSession
     per = targets(rows)
+    rows = rows.groupBy("doc_id", "source", "size", "h").agg(F.count("*").alias("m")).withColumn("r", F.explode(F.expr("sequence(1L, m)"))).drop("m")
     joined = rows.alias("d").join(per.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select(
         "d.*", "n_docs", "source_size", "target", F.when(F.col("size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("rate"))
     joined = joined.withColumns({"base": F.floor("rate"), "p": F.col("rate") - F.floor("rate")})
-    cell = F.floor(F.pmod(F.xxhash64(F.lit(seed), "doc_id", "h"), F.greatest(F.ceil(F.col("n_docs") / FAN), F.lit(1))))
+    cell = F.floor(F.pmod(F.xxhash64(F.lit(seed), "doc_id", "h", "r"), F.greatest(F.ceil(F.col("n_docs") / FAN), F.lit(1))))
     head = ["source", "source_size", "target", "base"]
     made = shared.put(joined.withColumn("cell", cell), "mix")
     fractional = (F.col("p") > 0) & (F.col("p") < 1)
     largest = made.where(fractional).agg(F.max("cell")).first()[0]
-    item = F.struct("doc_id", "h", "size", "p")
-    done = [made.where(~fractional).select("doc_id", "h", "size", *head, F.col("p").alias("q"))]
+    item = F.struct("doc_id", "h", "r", "size", "p")
+    done = [made.where(~fractional).select("doc_id", "h", "r", "size", *head, F.col("p").alias("q"))]
     open_rows = made.where(fractional).select(*head, "cell", item.alias("item"))
     while largest is not None:
         groups = open_rows.groupBy(*head, "cell").agg(F.array_sort(F.collect_list("item")).alias("items"))
         zero = F.struct(F.element_at("items", 1).alias("open"), F.slice("items", 1, 0).alias("done"))
         folded = groups.select(*head, "cell", F.aggregate(F.slice("items", 2, F.size("items")), zero, lambda state, item: _step(state, item, seed)).alias("f"))
         folded = shared.put(folded, "mix")
-        done.append(folded.select(*head, F.explode("f.done").alias("x")).select("x.doc_id", "x.h", "x.size", *head, F.col("x.p").alias("q")))
+        done.append(folded.select(*head, F.explode("f.done").alias("x")).select("x.doc_id", "x.h", "x.r", "x.size", *head, F.col("x.p").alias("q")))
         open_rows = folded.select(*head, F.floor(F.col("cell") / FAN).alias("cell"), F.col("f.open").alias("item"))
         if not largest:
-            last = F.shiftrightunsigned(F.xxhash64(F.lit(seed + 1), "item.doc_id", "item.h"), 11) / F.lit(float(1 << 53))
-            done.append(open_rows.select("item.doc_id", "item.h", "item.size", *head, (last < F.col("item.p")).cast("double").alias("q")))
+            last = F.shiftrightunsigned(F.xxhash64(F.lit(seed + 1), "item.doc_id", "item.h", "item.r"), 11) / F.lit(float(1 << 53))
+            done.append(open_rows.select("item.doc_id", "item.h", "item.r", "item.size", *head, (last < F.col("item.p")).cast("double").alias("q")))
             break
         largest //= FAN
     out = functools.reduce(DataFrame.unionByName, done)
-    return out.select("doc_id", "source", "size", "h", "source_size", "target", (F.col("base") + F.round("q")).cast("bigint").alias("copies"))
+    return out.select("doc_id", "source", "size", "h", "r", "source_size", "target", (F.col("base") + F.round("q")).cast("bigint").alias("copies"))
 
 
 def mix(docs: DataFrame, seed: int = 17, text: str = "text") -> DataFrame:
-    """Rows of docs repeated as the mix takes them (0 to 3 times), columns unchanged."""
-    number = F.row_number().over(W.partitionBy("doc_id").orderBy("source", "size", "h"))
-    numbered = shared.put(sizes(docs, text), "sizes")
-    decided = plan(numbered, seed).withColumn("_n", number).select(F.col("doc_id").alias("_id"), "_n", "copies")
-    mark = docs.withColumns({"_size": F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint"), "_h": F.xxhash64(text)})
-    mark = mark.withColumn("_n", F.row_number().over(W.partitionBy("doc_id").orderBy("source", "_size", "_h")))
-    got = mark.join(decided, (F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id"))) & (mark["_n"] == decided["_n"]))
-    return got.where("copies > 0").withColumn("_c", F.explode(F.expr("sequence(1, cast(copies as int))"))).select(*docs.columns)
+    """Rows of docs repeated as the mix takes them (0 to 3 times), columns unchanged, whatever their names.
+
+    Rows meet their decision by id, source and content; only rows equal in all
+    of these are numbered.  Null ids and sources are values like any other.
+    """
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("bigint").alias("_id"), F.col("source").alias("_source"), F.xxhash64(text).alias("_h"))
+    decided = shared.put(plan(shared.put(sizes(docs, text), "sizes"), seed), "decided")
+    number = F.row_number().over(W.partitionBy("_id", "_h", "_source").orderBy(F.lit(0)))
+    rows = whole.withColumn("_r", number)
+    d = decided.where("copies > 0").select(F.col("doc_id").alias("d_id"), F.col("h").alias("d_h"), F.col("source").alias("d_source"), F.col("r").alias("d_r"), "copies")
+    got = rows.join(d, F.col("_id").eqNullSafe(F.col("d_id")) & (F.col("_h") == F.col("d_h")) & F.col("_source").eqNullSafe(F.col("d_source")) & (F.col("_r") == F.col("d_r")))
+    taken = got.select("_row", F.explode(F.expr("sequence(1, cast(copies as int))")))
+    return taken.select(*[F.col("_row")[c].alias(c) for c in docs.columns])

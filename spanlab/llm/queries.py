@@ -88,8 +88,9 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import language
 
+    """A row with a null doc_id is not held out: it is learned from."""
     docs = _docs(spark, sf_dir).select("doc_id", "text", "lang")
-    held = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0).alias("held_out")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False)).alias("held_out")
     langs, model = language.fit(docs.where(~held))
     return language.predict(docs.select("doc_id", "text", held), langs, model).select("doc_id", "held_out", "lang_pred", "score", "n_langs")
 
