@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -177,13 +178,14 @@ def test_language_model(docs, nothing):
 
 
 def test_model_probabilities_sum_to_one(spark):
+    """All texts over the known words and an unknown one have probability 1 together; those of over 5 words as a geometric rest."""
     train = [(i, t) for i, t in enumerate(["a b a c", "b a", "c c a b", "a a", "b"] * 4)]
-    words = ["a", "b", "c"]
-    ids = [i for i in range(1000, 4000) if zlib.crc32(str(i).encode()) % 7 == 2][:8]
-    rows = [(ids[0], "a"), *[(i, f"a {w}") for i, w in zip(ids[1:], [*words, "unseen"])]]
-    got = {r.doc_id: r.score for r in ngram.score(spark.createDataFrame(train + rows, "doc_id bigint, text string")).collect()}
-    # p(first word) is unknown here, so compare p(w | a) through texts that share it: end follows a or another word
-    assert all(math.isfinite(x) and x < 0 for x in got.values())
+    ids = (i for i in itertools.count(1000) if zlib.crc32(str(i).encode()) % 7 == 2)
+    rows = [(next(ids), " ".join(w), k) for k in range(6) for w in itertools.product(["a", "b", "c", "unseen"], repeat=k)]
+    got = {r.doc_id: r.score for r in ngram.score(spark.createDataFrame(train + [r[:2] for r in rows], "doc_id bigint, text string")).collect()}
+    mass = [sum(10 ** got[i] for i, _, n in rows if n == k) for k in range(6)]
+    rate = mass[5] / mass[4]
+    assert sum(mass) < 1 and sum(mass) + mass[5] * rate / (1 - rate) == pytest.approx(1, abs=1e-2)
 
 
 def test_mixing(spark, docs, nothing):
@@ -214,6 +216,17 @@ def test_mixing(spark, docs, nothing):
     assert mixing.mix(docs).columns == docs.columns and mixing.mix(docs).count() == sum(r.copies for r in rows)
 
 
+def test_mixing_odd_rows(spark):
+    """Equal rows are spread over cells, and columns of docs may have any name."""
+    same = spark.createDataFrame([(1, "a b c", "s")] * 2000 + [(None, "d e", None)] * 50 + [(2, "f " * 500, "t")], "doc_id bigint, text string, source string")
+    rows = mixing.plan(mixing.sizes(same))
+    assert rows.count() == 2051 and rows.select("doc_id", "h", "r").distinct().count() == 2051
+    clash = same.select("*", *[F.lit(7).alias(c) for c in ("copies", "size", "h", "r", "_h", "_id", "_n", "target", "a.b")])
+    out = mixing.mix(clash)
+    assert out.columns == clash.columns and out.where("copies <> 7").isEmpty()
+    assert out.count() == rows.agg(F.sum("copies")).first()[0]
+
+
 def test_media(spark, docs, nothing):
     items = media.parse(media.page_of(docs), "doc_id", "html").where("kind = 'media'")
     got = media.resolve(items, media.store(docs)).collect()
@@ -317,11 +330,33 @@ def test_quality_samples_by_both_signs(spark):
     raw = np.array([400.0, 400, 400, 400, 9, 0] + [0] * 10)
     got = quality.ratios(np.array([130.0, 0, 260, 133, 1, 0] + [0] * 10), raw)
     assert got[0, 1] < -4 and got[0, 2] > 0.4 and -0.1 < got[0, 4] < 0 and got[0, 5] == 0 and (got[1] <= got[0]).all()
-    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("").alias("text"))
-    noise = quality.score(docs, docs.limit(0), np.zeros((2, 1 << quality.BITS), np.float32)).select("key").toPandas()["key"]
+    noise = spark.range(20_000).withColumnRenamed("id", "doc_id").select(quality._noise(7).alias("key")).toPandas()["key"]
     assert abs(noise.mean() - 0.5772) < 0.05 and abs(noise.std() - math.pi / 6**0.5) < 0.05  # standard Gumbel
 
 
+def test_quality_ratios_by_hand(spark):
+    """Every log ratio from plain dictionaries of grams: all texts counted, the text itself left out."""
+    rng = random.Random(9)
+    vocab = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(60)]
+    rows = [(i, " ".join(rng.choice(vocab) for _ in range(rng.randint(1, 30)))) for i in range(120)] + [(200, None), (201, ""), (None, "abc def"), (5, "abc def")]
+    labels = [(i, i % 3 != 0, int(i % 5 == 0)) for i in range(0, 120, 2)]
+    good = {i for i, q, t in labels if q and not t}
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = sorted(((r.doc_id if r.doc_id is not None else -1, round(r.log_ratio, 4)) for r in quality.classify(
+        docs, spark.createDataFrame([(i, int(q), t) for i, q, t in labels], "doc_id bigint, quality int, toxic int"), block_bytes=1024).collect()))
+    of = [next((g.tolist() for _, g, _ in quality.grams([(t or "").encode()])), []) for _, t in rows]
+    raw, target = collections.Counter(), collections.Counter()
+    for (i, _), gs in zip(rows, of):
+        raw.update(gs)
+        target.update(gs if i in good else [])
+    dense = [np.zeros(1 << quality.BITS), np.zeros(1 << quality.BITS)]
+    for c, d in zip((target, raw), dense):
+        d[list(c)] = list(c.values())
+    model = quality.ratios(*dense)
+    want = sorted((-1 if i is None else i, round(float(sum(model[int(i in good), g] for g in gs)), 4)) for (i, _), gs in zip(rows, of))
+    assert [a for a, _ in got] == [a for a, _ in want] and [b for _, b in got] == pytest.approx([b for _, b in want], abs=2e-4)
+
+
 def test_top_is_exact(spark):
     rng = random.Random(1)
     keys = [rng.gauss(0, 1) ** 3 for _ in range(5000)] + [0.25] * 500
@@ -366,6 +401,14 @@ def test_chat_tree(spark):
     assert chat.format_paths(df.limit(0), chat.paths(df.limit(0))).count() == 0
 
 
+def test_chat_cycles(spark):
+    """Nodes on a cycle and below it are left out; the others are not touched by them."""
+    edges = [(1, 2), (2, 1), (3, 1), (4, 3), (5, 5), (10, None), (11, 10), (12, 11), (13, 10)]
+    df = spark.createDataFrame([(n, p, float(n), "user", str(n)) for n, p in edges], "node bigint, parent bigint, score double, role string, text string").withColumn("up", F.lit(1))
+    assert sorted((r.leaf, r.node, r.depth) for r in chat.paths(df).collect()) == [(13, 10, 0), (13, 13, 1)]
+    assert sorted((r.leaf, r.node, r.depth) for r in chat.paths(df, 2).collect()) == [(12, 10, 0), (12, 11, 1), (12, 12, 2), (13, 10, 0), (13, 13, 1)]
+
+
 def test_chat_long_chain(spark):
     n = 300
     df = spark.range(n).select(F.col("id").alias("node"), F.when(F.col("id") > 0, F.col("id") - 1).alias("parent"), F.lit(0.0).alias("score"), F.lit("user").alias("role"), F.col("id").cast("string").alias("text"))
@@ -381,7 +424,7 @@ def test_language(spark, nothing):
     langs, model = language.fit(spark.createDataFrame([*rows, (1, None, "en"), (2, "x", None)], "doc_id bigint, text string, lang string"))
     assert langs == ["de", "en", "es"]
     ask = [(i, say(k, 30), k) for i in range(60) for k in make] + [(900, None, "und"), (901, "", "und"), (902, "12 !!", "und"), (903, say("en", 60) + " " + say("de", 20), "en")]
-    got = language.predict(spark.createDataFrame(ask, "doc_id bigint, text string, want string").withColumn("score", F.lit("x")).drop("score"), langs, model).collect()
+    got = language.predict(spark.createDataFrame(ask, "doc_id bigint, text string, want string").withColumn("score", F.lit("x")), langs, model).collect()
     assert np.mean([r.lang_pred == r.want for r in got]) > 0.98 and all(0 <= r.score <= 1 for r in got)
     mixed = next(r for r in got if r.doc_id == 903)
     assert mixed.n_langs == 2 and 0.6 < mixed.score < 0.9
