@@ -7,41 +7,39 @@ last return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanlab.llm import bpe, jaccard, mixing, quality, shared, suffix
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that importance resampling keeps."""
+    """Documents that importance resampling keeps.  A null doc_id has no label; null and empty texts have ratio 0."""
     return quality.resample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies; of rows with one id, one."""
-    first = jaccard.group(docs).where("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("_id")).distinct()
-    found = docs.join(first, docs["doc_id"].eqNullSafe(first["_id"]), "left_semi")
-    number = F.row_number().over(W.partitionBy("doc_id").orderBy("text", "source", "lang"))
-    return found.withColumn("_n", number).where("_n = 1 or doc_id is null").select(*docs.columns)
+    """One row of each group of near copies: that with the smallest doc_id, null last.
+
+    Each row is a document of its own, whatever its doc_id.  Rows without words all stay.
+    """
+    return jaccard.representatives(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the 50-byte strings that an earlier document has; characters cut in half go too."""
-    kept = suffix.mark(docs, keep_text=True).select(F.col("doc_id").alias("_id"), F.expr("try_validate_utf8(kept)").alias("_whole"), "kept")
-    text = F.coalesce("_whole", F.expr("make_valid_utf8(kept)"))
-    found = docs.drop("text", "n_chars").join(kept, docs["doc_id"].eqNullSafe(kept["_id"]))
-    made = found.withColumn("text", F.regexp_replace(text, "�", "")).withColumn("n_chars", F.length("text").cast("bigint"))
-    return made.select(*[c for c in docs.columns])
+    """Texts without the 50-byte strings that an earlier document has; characters cut in half go too.
+
+    Rows stay as many, whatever their doc_id; n_chars follows the new text (null: null).
+    """
+    return suffix.cut(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Rows as often as the mix takes them, columns unchanged."""
     return mixing.mix(docs)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, with digests of the ids and of the decoded bytes."""
+    """Token ids of each row, with digests of the ids and of the decoded bytes; null text: no ids."""
     import public_tokenizers
 
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
@@ -56,7 +54,7 @@ STAGES = [
     ("tokens", encode_tokens),
 ]
 
-#: Sampling, connected components and merges have no SQL form; tests compare the stages with brute force.
+#: Sampling, connected components and merges have no SQL form; tests/llm/test_pipeline.py compares the stages with brute force.
 ORACLE_SQL = None
 
 
