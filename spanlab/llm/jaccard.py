@@ -84,14 +84,16 @@ def _rare_prefix(tokens: np.ndarray, levels: np.ndarray, seed: int, percent: int
     return tokens[order][levels[order] > 0]
 
 
-def _compare(test, kind):
-    """mapInArrow function over (x, y, x_v, y_v): the pairs whose arrays pass the test, as (x, y)."""
+def _compare(test):
+    """mapInArrow function over (x, y, values of x, as many of y): the pairs that pass the test, as (x, y)."""
     def run(batches):
         for batch in batches:
             out = []
-            x, y, a, b = (batch.column(i) for i in range(4))
+            x, y, *values = batch.columns
+            half = len(values) // 2
             for i in range(batch.num_rows):
-                if test(np.frombuffer(a[i].as_buffer(), kind), np.frombuffer(b[i].as_buffer(), kind)):
+                own = [v[i].as_buffer() for v in values]
+                if test(own[:half], own[half:]):
                     out.append((x[i].as_py(), y[i].as_py()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["x", "y"])
@@ -99,17 +101,22 @@ def _compare(test, kind):
     return run
 
 
-def _beside(pairs: DataFrame, about: DataFrame, value: str) -> DataFrame:
-    """pairs with that value of both sides."""
-    side = {s: about.select(F.col("id").alias(s), F.col(value).alias(f"{s}_v")) for s in "xy"}
-    return pairs.join(side["y"], "y").join(side["x"], "x").select("x", "y", "x_v", "y_v")
+def _beside(pairs: DataFrame, about: DataFrame, *names: str) -> DataFrame:
+    """pairs with these values of both sides."""
+    side = {s: about.select(F.col("id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in names]) for s in "xy"}
+    return pairs.join(side["y"], "y").join(side["x"], "x").select("x", "y", *[f"{s}_{c}" for s in "xy" for c in names])
 
 
 def verify(pairs: DataFrame, heads: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """pairs (x, y) that share prefix tokens under the other orders and whose sets overlap enough, as (a, b)."""
-    for k in range(1, len(SEEDS)):
-        pairs = _beside(pairs, heads, f"p{k}").mapInArrow(_compare(lambda a, b: bool(len(np.intersect1d(a, b, assume_unique=True))), np.uint32), "x bigint, y bigint")
-    done = _beside(pairs, sets, "tokens").mapInArrow(_compare(lambda a, b: _links(a, b, percent), U64), "x bigint, y bigint")
+    """pairs (x, y) that share prefix tokens under all other orders and whose sets overlap enough, as (a, b)."""
+    def prefixes(a, b) -> bool:
+        return all(len(np.intersect1d(np.frombuffer(p, np.uint32), np.frombuffer(q, np.uint32), assume_unique=True)) for p, q in zip(a, b))
+
+    def whole(a, b) -> bool:
+        return _links(np.frombuffer(a[0], U64), np.frombuffer(b[0], U64), percent)
+
+    left = _beside(pairs, heads, *[f"p{k}" for k in range(1, len(SEEDS))]).mapInArrow(_compare(prefixes), "x bigint, y bigint")
+    done = _beside(left, sets, "tokens").mapInArrow(_compare(whole), "x bigint, y bigint")
     return done.select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
