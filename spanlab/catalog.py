@@ -123,14 +123,14 @@ _PIECES = f"SELECT doc_id, lang, unnest(regexp_extract_all({O.norm('text')}, '{O
 
 @query(f"WITH t AS ({_PIECES}) SELECT {O.token('p')} AS token, count(*) AS n FROM t GROUP BY 1")
 def shape_histogram(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(F.explode(shapes.tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    return shapes.histogram(table(spark, sf_dir, "documents"))
 
 
 @query(f"""WITH t AS ({_PIECES}), k AS (SELECT lang, {O.token('p')} AS token FROM t)
 SELECT lang, regexp_extract(token, '^[A-Z]+') AS family, token AS bucket, count(*) AS n FROM k WHERE regexp_matches(token, '^(ALPHA|DIGIT|ALNUM)_') GROUP BY ALL""")
 def shape_buckets(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("lang", F.explode(shapes.tokens(F.col("text"))).alias("bucket")).where(F.col("bucket").rlike("^(ALPHA|DIGIT|ALNUM)_"))
-    return rows.groupBy("lang", F.regexp_extract("bucket", "^[A-Z]+", 0).alias("family"), "bucket").agg(F.count("*").alias("n"))
+    rows = shapes.histogram(table(spark, sf_dir, "documents"), "lang").where(F.col("token").rlike("^(ALPHA|DIGIT|ALNUM)_"))
+    return rows.select("lang", F.regexp_extract("token", "^[A-Z]+", 0).alias("family"), F.col("token").alias("bucket"), "n")
 
 
 @query(f"""WITH t AS (SELECT doc_id, regexp_extract_all({O.norm('coalesce(text, ' + chr(39) * 2 + ')')}, '{O.SHAPES}') AS a FROM documents)
@@ -501,7 +501,27 @@ def word_examples(spark, sf_dir):
     return synth.word_examples(spark.range(300).withColumnRenamed("id", "key"), words.archive(table(spark, sf_dir, "documents")), cit, 6)
 
 
-@query()
+def _noise_sql() -> str:
+    """noisy: o_orderkey and noisy of cit, through lists of characters."""
+    u = lambda slot: O.unit(8, "o_orderkey", slot)
+    none = 1 - 0.35 - 0.35
+    some = lambda n, slot: f"greatest(1, round_even({n} * ({0.03!r}::DOUBLE + {0.12 - 0.03!r}::DOUBLE * {u(slot)}), 0))::BIGINT"
+    pick = lambda values, at: f"([{', '.join(O.q(v) for v in values)}])[({at})::BIGINT + 1]"
+
+    def glitch(slot: str, values: list[str], share: float, over: int) -> str:
+        at = f"floor({u(f"'{slot}at'")} * (length(t) + {1 - over}))::BIGINT"
+        return f"CASE WHEN {u(f"'{slot}'")} < {share} THEN substr(t, 1, {at}) || {pick(values, f"floor({u(f"'{slot}of'")} * {len(values)})")} || substr(t, {at} + {1 + over}) ELSE t END"
+
+    return f"""n_a AS (SELECT o_orderkey, line, regexp_extract_all(line, '(?s).') AS c, {u("'kind'")} * {none + 0.35 + 0.35 + 0.175!r}::DOUBLE AS kind FROM cit),
+n_b AS (SELECT *, CASE WHEN kind >= {none + 0.35!r}::DOUBLE AND len(c) > 3 THEN list_transform(list_sort(list_transform(range(len(c)), lambda i: {{'u': {u("'d' || i::VARCHAR")}, 'i': i}}))[1:least({some('len(c)', "'deleted'")}, len(c) - 1)], lambda x: x.i) ELSE [] END AS gone FROM n_a),
+n_c AS (SELECT o_orderkey, line, kind, list_filter(c, lambda x, i: NOT list_contains(gone, i - 1)) AS c FROM n_b),
+n_d AS (SELECT *, CASE WHEN (kind >= {none!r}::DOUBLE AND kind < {none + 0.35!r}::DOUBLE) OR kind >= {none + 0.35 + 0.35!r}::DOUBLE THEN list_transform(range(1, 1 + {some('len(c)', "'inserted'")}), lambda j: {{'at': floor({u("'p' || j::VARCHAR")} * (len(c) + 1))::BIGINT, 'x': {pick(synth.NOISE, f"floor({u("'c' || j::VARCHAR")} * {len(synth.NOISE)})")}}}) ELSE [] END AS more FROM n_c),
+n_e AS (SELECT o_orderkey, line, array_to_string(list_transform(range(len(c) + 1), lambda i: array_to_string(list_transform(list_filter(more, lambda m: m.at = i), lambda m: m.x), '') || coalesce(c[i + 1], '')), '') AS t FROM n_d),
+n_f AS (SELECT o_orderkey, line, {glitch("over", synth.OVERWRITES, 0.3, 1)} AS t FROM n_e),
+noisy AS (SELECT o_orderkey, {glitch("ins", synth.INSERTS, 0.2, 0)} AS noisy FROM n_f)"""
+
+
+@query(f"WITH {_citations_sql()}, {_noise_sql()} SELECT o_orderkey, noisy FROM noisy")
 def perturbed(spark, sf_dir):
     return citations(spark, sf_dir).select("o_orderkey", synth.perturb(F.col("line"), 8, F.col("o_orderkey")).alias("noisy"))
 

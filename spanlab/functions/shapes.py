@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .chars import normalize_pdf_text
@@ -82,8 +82,29 @@ def pieces(text: Column) -> Column:
     return F.regexp_extract_all(normalize_pdf_text(F.coalesce(text, F.lit(""))), F.lit(PATTERN), F.lit(0))
 
 
-def token_of(piece: Column, after: Column | None = None) -> Column:
-    """Name of a piece.  after: the next piece; it tells a cut-off ``www`` from the word."""
+CUT_URL = "www."
+
+
+def marked_pieces(text: Column) -> Column:
+    """pieces(), but a ``www`` that stands alone before a longer piece that begins with a dot is written ``www.``.
+
+    So a piece alone tells its token (no piece is ``www.`` otherwise), and equal pieces can be classified once.
+    """
+    def mark(p: Column) -> Column:
+        return F.transform(p, lambda x, i: F.when((F.lower(x) == "www") & F.coalesce(F.get(p, i + 1).startswith(".") & (F.length(F.get(p, i + 1)) > 1), F.lit(False)),
+                                                  F.lit(CUT_URL)).otherwise(x))
+
+    p = pieces(text)
+    return F.when(F.coalesce(F.rlike(text, F.lit(r"(?i)www\.")), F.lit(False)), F.element_at(F.transform(F.array(p), mark), 1)).otherwise(p)
+
+
+def piece_length(piece: Column) -> Column:
+    """Characters of the text that a marked piece stands for."""
+    return F.when(piece == CUT_URL, 3).otherwise(F.length(piece))
+
+
+def token_of(piece: Column) -> Column:
+    """Name of a marked piece."""
     first, n = F.substring(piece, 1, 1), F.length(piece)
     names = F.create_map(*[F.lit(x) for pair in PUNCT_NAME.items() for x in pair])
     low = F.lower(piece)
@@ -92,8 +113,6 @@ def token_of(piece: Column, after: Column | None = None) -> Column:
         return F.rlike(piece, F.lit("(?U)" + pattern))
 
     url = low.startswith("www.") | low.startswith("http://") | low.startswith("https://")
-    if after is not None:
-        url = url | ((low == "www") & F.coalesce(after.startswith(".") & (F.length(after) > 1), F.lit(False)))
     word = is_(r"^[A-Za-z0-9]+$")
     digit, letter = is_(r"\d"), is_(r"[A-Za-z]")
     plain = (F.when(word & digit & letter, alnum_bucket(n)).when(word & letter, alpha_bucket(n)).when(is_(r"^\d+$"), digit_bucket(n))
@@ -105,14 +124,19 @@ def token_of(piece: Column, after: Column | None = None) -> Column:
               .when(is_(rf"^(?:[A-Za-z]\.{_W}*){{1,4}}$"), "APA_INITIALS")
               .when(is_(rf"^(?i:et{_W}+al\.)$"), "APA_ETAL")
               .when(is_(rf"^{_W}"), "SPACE"))
-    return F.coalesce(marked, plain)
+    # plain words and single spaces, most of all pieces, need one test
+    return F.when(piece == " ", "SPACE").when(F.rlike(piece, F.lit("^[A-Za-z]+$")), alpha_bucket(n)).otherwise(F.coalesce(marked, plain))
 
 
 def tokens(text: Column) -> Column:
     """Shape token names of a text: array<string>."""
-    p = pieces(text)
-    return F.transform(F.arrays_zip(p.alias("p"), F.concat(F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), F.array(F.lit(""))).alias("q")),
-                       lambda x: token_of(x["p"], x["q"]))
+    return F.transform(marked_pieces(text), token_of)
+
+
+def histogram(docs: DataFrame, *by: str) -> DataFrame:
+    """docs (text, by...) -> by..., token, n: pieces are counted first, so each distinct one is classified once."""
+    pieces_of = docs.select(*by, F.explode(marked_pieces(F.col("text"))).alias("piece")).groupBy(*by, "piece").agg(F.count("*").alias("n"))
+    return pieces_of.select(*by, token_of(F.col("piece")).alias("token"), "n").groupBy(*by, "token").agg(F.sum("n").alias("n"))
 
 
 def encode(names: Column, max_length: int = 512) -> Column:

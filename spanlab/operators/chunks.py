@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -34,11 +34,19 @@ def widen(chunks: DataFrame, tokens: DataFrame, docs: DataFrame) -> DataFrame:
     t = tokens.select("doc_id", F.col("pos").cast("bigint").alias("pos"), "start", "end")
     got = chunks.join(t.select("doc_id", F.col("pos").alias("first"), F.col("start").alias("s")), ["doc_id", "first"]).join(
         t.select("doc_id", (F.col("pos") + 1).alias("last"), F.col("end").alias("e")), ["doc_id", "last"])
-    rows = got.join(docs.select("doc_id", "text"), "doc_id").join(many, "doc_id")
-    head = F.substr("text", F.lit(1), F.col("s").cast("int"))
-    start = F.when(F.col("_m") == 0, 0).otherwise(F.length(head) - F.length(F.substring_index(head, "\n", -1)))
-    tail = F.substr("text", F.col("e").cast("int") + 1, F.length("text"))
-    nl = F.instr(tail, F.lit("\n"))
-    end = F.when((F.col("_m") == 0) | (nl == 0), F.length("text")).otherwise(F.col("e") + nl - 1)
-    rows = rows.withColumns({"start": start.cast("bigint"), "stop": end.cast("bigint")})
-    return rows.select("doc_id", "chunk", "start", F.col("stop").alias("end"), F.substr("text", (F.col("start") + 1).cast("int"), (F.col("stop") - F.col("start")).cast("int")).alias("text"))
+    # a document's windows as one array beside its text, so the text moves once
+    per = got.groupBy("doc_id").agg(F.collect_list(F.struct("chunk", "s", "e")).alias("w")).join(many, "doc_id").join(docs.select("doc_id", "text"), "doc_id")
+
+    def lines(x: Column) -> Column:
+        head = F.substr("text", F.lit(1), x["s"].cast("int"))
+        start = F.when(F.col("_m") == 0, 0).otherwise(F.length(head) - F.length(F.substring_index(head, "\n", -1)))
+        tail = F.substr("text", x["e"].cast("int") + 1, F.length("text"))
+        nl = F.instr(tail, F.lit("\n"))
+        end = F.when((F.col("_m") == 0) | (nl == 0), F.length("text")).otherwise(x["e"] + nl - 1)
+        return F.struct(x["chunk"].alias("chunk"), start.cast("bigint").alias("start"), end.cast("bigint").alias("end"))
+
+    def sliced(x: Column) -> Column:
+        return F.struct(x["chunk"].alias("chunk"), x["start"].alias("start"), x["end"].alias("end"),
+                        F.substr("text", (x["start"] + 1).cast("int"), (x["end"] - x["start"]).cast("int")).alias("text"))
+
+    return per.select("doc_id", F.explode(F.transform(F.transform("w", lines), sliced)).alias("x")).select("doc_id", "x.*")

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.chars import WS, collapse
-from ..functions.shapes import pieces, token_of
+from ..functions.shapes import marked_pieces, piece_length, token_of
 
 # Label ids.
 O, B_INS, I_INS = 0, 1, 2  # noqa: E741
@@ -30,22 +30,26 @@ def merge_overlapping(spans: DataFrame) -> DataFrame:
 
 def token_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, text) -> doc_id, pos, token, start, end: shape tokens that tile the text."""
-    p = pieces(F.col("text"))
-    rows = docs.select("doc_id", p.alias("p")).select("doc_id", "p", F.posexplode("p").alias("pos", "piece"))
-    rows = rows.select("doc_id", "pos", "piece", token_of(F.col("piece"), F.try_element_at("p", F.col("pos") + 2)).alias("token"))
-    order = W.partitionBy("doc_id").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    end = F.sum(F.length("piece")).over(order)
-    return rows.select("doc_id", "pos", "token", (end - F.length("piece")).alias("start"), end.alias("end"))
+    rows = docs.select("doc_id", F.posexplode(marked_pieces(F.col("text"))).alias("pos", "piece"))
+    rows = rows.select("doc_id", "pos", token_of(F.col("piece")).alias("token"), piece_length(F.col("piece")).alias("n"))
+    end = F.sum("n").over(W.partitionBy("doc_id").orderBy("pos").rowsBetween(W.unboundedPreceding, 0))
+    return rows.select("doc_id", "pos", "token", (end - F.col("n")).alias("start"), end.alias("end"))
 
 
 def project(tokens: DataFrame, spans: DataFrame) -> DataFrame:
     """tokens (doc_id, pos, token, start, end) and spans (doc_id, idx, start, end) -> tokens plus span_idx and label.
 
-    A token belongs to the first span that it overlaps.  An equi-join on doc_id with the range as residual.
+    spans of a document are disjoint and in order of idx (merge_overlapping makes them so).  A token belongs to
+    the first span that it overlaps: the first that ends after the token's start, if it begins before its end.
+    One sort of tokens and spans together finds it; nothing is joined.
     """
-    s = spans.select(F.col("doc_id").alias("_d"), "idx", F.col("start").alias("_s"), F.col("end").alias("_e"))
-    hit = (tokens["doc_id"] == s["_d"]) & (tokens["start"] < s["_e"]) & (tokens["end"] > s["_s"])
-    rows = tokens.join(s, hit, "left").groupBy("doc_id", "pos", "token", "start", "end").agg(F.min("idx").alias("span_idx"))
+    ends = spans.select("doc_id", F.lit(None).cast("int").alias("pos"), F.lit(None).cast("string").alias("token"), F.lit(None).cast("bigint").alias("start"), F.lit(None).cast("bigint").alias("end"),
+                        F.struct("idx", F.col("start").cast("bigint").alias("s")).alias("span"), F.col("end").cast("bigint").alias("at"))
+    rows = tokens.select("doc_id", "pos", "token", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"),
+                         F.lit(None).cast(ends.schema["span"].dataType).alias("span"), F.col("start").cast("bigint").alias("at")).unionByName(ends)
+    back = W.partitionBy("doc_id").orderBy(F.col("at").desc(), F.col("span").isNotNull()).rowsBetween(W.unboundedPreceding, 0)
+    near = rows.withColumn("near", F.last("span", ignorenulls=True).over(back)).where("span is null")
+    rows = near.select("doc_id", "pos", "token", "start", "end", F.when(F.col("near.s") < F.col("end"), F.col("near.idx")).alias("span_idx"))
     before = F.lag("span_idx").over(W.partitionBy("doc_id").orderBy("pos"))
     label = F.when(F.col("span_idx").isNull(), O).when(before.isNull() | (before != F.col("span_idx")), B_INS).otherwise(I_INS)
     return rows.withColumn("label", label)
@@ -83,17 +87,24 @@ def merge_adjacent(spans: DataFrame, docs: DataFrame, max_gap: int = 2) -> DataF
     Joined: a gap of at most max_gap white space or ASCII punctuation characters without a blank line.
     The end is that of the last span, even if it lies inside the one before.
     """
-    order = W.partitionBy("doc_id").orderBy("start", "end")
-    rows = spans.join(docs.select(F.col("doc_id").alias("_d"), "text"), F.col("doc_id") == F.col("_d")).drop("_d")
-    rows = rows.withColumn("before", F.lag("end").over(order)).withColumn("place", F.row_number().over(order))
-    gap = F.coalesce(F.substr("text", (F.col("before") + 1).cast("int"), F.greatest(F.col("start") - F.col("before"), F.lit(0)).cast("int")), F.lit(""))
-    plain = F.rlike(gap, F.lit(rf"(?U)^[{WS}\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]*\z")) & ~F.rlike(gap, F.lit(r"(?U)\n\s*\n"))
-    joined = F.col("before").isNotNull() & (F.col("start") <= F.col("before") + max_gap) & plain
-    island = F.sum(F.when(joined, 0).otherwise(1)).over(order.rowsBetween(W.unboundedPreceding, 0))
-    out = rows.withColumn("island", island).groupBy("doc_id", "island").agg(
-        F.min("start").alias("start"), F.max_by("end", "place").alias("end"), F.first("text").alias("text"))
-    value = F.substr("text", (F.col("start") + 1).cast("int"), F.greatest(F.col("end") - F.col("start"), F.lit(0)).cast("int"))
-    return out.select("doc_id", "start", "end", value.alias("value"))
+    text = docs.select(F.col("doc_id").alias("_d"), "text")
+    cut = lambda a, b: F.substr("text", (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))
+
+    def beside_text(rows: DataFrame) -> DataFrame:
+        """A document's rows as one array s beside its text, so the text moves once, not once for each span."""
+        return rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("s")).join(text, F.col("doc_id") == F.col("_d"))
+
+    def mark(x: Column, i: Column) -> Column:
+        before = F.when(i > 0, F.get("s", i - 1)["end"])
+        gap = F.coalesce(cut(before, x["start"]), F.lit(""))
+        plain = F.rlike(gap, F.lit(rf"(?U)^[{WS}\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]*\z")) & ~F.rlike(gap, F.lit(r"(?U)\n\s*\n"))
+        # only short gaps are looked at
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), F.when(before.isNotNull() & (x["start"] <= before + max_gap), plain).otherwise(F.lit(False)).alias("joined"))
+
+    rows = beside_text(spans).select("doc_id", F.posexplode(F.transform("s", mark)).alias("place", "x")).select("doc_id", "place", "x.*")
+    island = F.sum(F.when(F.col("joined"), 0).otherwise(1)).over(W.partitionBy("doc_id").orderBy("place").rowsBetween(W.unboundedPreceding, 0))
+    out = rows.withColumn("island", island).groupBy("doc_id", "island").agg(F.min("start").alias("start"), F.max_by("end", "place").alias("end"))
+    return beside_text(out).select("doc_id", F.explode(F.transform("s", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), cut(x["start"], x["end"]).alias("value")))).alias("x")).select("doc_id", "x.*")
 
 
 def drop_repeats(blocks: DataFrame) -> DataFrame:

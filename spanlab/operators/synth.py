@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import random
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -85,36 +82,51 @@ def archive_text(requests: DataFrame, archive: DataFrame, seed: int) -> DataFram
     return got.select("key", F.slice(F.flatten(F.transform("x", lambda s: s["w"])), F.lit(1), F.col("n").cast("int")).alias("tokens"))
 
 
-def _noisy(text: str, draw: random.Random, shares: list[float], low: float, high: float) -> str:
-    kind = draw.choices(range(4), shares)[0]
-    chars = list(text)
-    some = lambda n: max(1, round(n * draw.uniform(low, high)))
-    if kind >= 2 and len(chars) > 3:
-        gone = set(draw.sample(range(len(chars)), min(some(len(chars)), len(chars) - 1)))
-        chars = [c for i, c in enumerate(chars) if i not in gone]
-    if kind in (1, 3):
-        for _ in range(some(max(1, len(chars)))):
-            chars.insert(draw.randint(0, len(chars)), draw.choice(NOISE))
-    if chars and draw.random() < 0.30:
-        chars[draw.randrange(len(chars))] = draw.choice(OVERWRITES)
-    if chars and draw.random() < 0.20:
-        chars.insert(draw.randint(0, len(chars)), draw.choice(INSERTS))
-    return "".join(chars) or text
+def _let(value: Column, use) -> Column:
+    """use(value) with value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def perturb(text: Column, seed: int, key: Column, insert: float = 0.35, delete: float = 0.35, low: float = 0.03, high: float = 0.12) -> Column:
-    """Extraction noise: delete or insert some characters, then perhaps white-space glitches.  Null or empty text stays.
+    """Extraction noise: a share of the characters deleted, inserted, or both, then perhaps white-space glitches.
 
-    Each edit moves the places of the next, so this is an Arrow-batched UDF; its
-    draws follow from (seed, key).
+    Every draw is a hash of (seed, key, slot).  Deleted are the characters with
+    the smallest draws, all but one at most; insertions draw places in what is
+    left and are spliced in at once.  Null or empty text stays; no other text
+    becomes empty.
     """
-    shares = [max(0.0, 1 - insert - delete), insert, delete, min(insert, delete) / 2]
-
-    @F.pandas_udf("string")
-    def run(texts: pd.Series, keys: pd.Series) -> pd.Series:
-        return pd.Series([_noisy(t, random.Random(f"{seed}:{k}"), shares, low, high) if t else t for t, k in zip(texts, keys)], dtype=object)
-
-    return run(text, key.cast("string"))
+    none, both = max(0.0, 1 - insert - delete), min(insert, delete) / 2
+    u = lambda slot: unit(seed, key, slot)
+    own = lambda name, i: u(F.concat(F.lit(name), i.cast("string")))
+    some = lambda n, slot: F.greatest(F.lit(1), F.bround(n * (low + (high - low) * u(slot)), 0)).cast("int")
+    kind = u("kind") * (none + insert + delete + both)
+    fewer, more = kind >= none + insert, ((kind >= none) & (kind < none + insert)) | (kind >= none + insert + delete)
+
+    def gone(c: Column) -> Column:
+        drawn = F.array_sort(F.transform(c, lambda _, i: F.struct(own("d", i).alias("u"), i.alias("i"))))
+        return F.transform(F.slice(drawn, F.lit(1), F.least(some(F.size(c), "deleted"), F.size(c) - 1)), lambda x: x["i"])
+
+    def deleted(c: Column) -> Column:
+        return _let(gone(c), lambda g: F.filter(c, lambda _, i: ~F.array_contains(g, i)))
+
+    def spliced(c: Column) -> Column:
+        added = F.transform(F.sequence(F.lit(1), some(F.size(c), "inserted")), lambda j: F.struct(
+            F.floor(own("p", j) * (F.size(c) + 1)).cast("int").alias("at"), _of(NOISE, F.floor(own("c", j) * len(NOISE))).alias("x")))
+        return _let(added, lambda a: F.transform(F.sequence(F.lit(0), F.size(c)), lambda i: F.concat(
+            F.array_join(F.transform(F.filter(a, lambda x: x["at"] == i), lambda x: x["x"]), ""), F.coalesce(F.get(c, i), F.lit("")))))
+
+    def glitched(t: Column, slot: str, values: list[str], share: float, over: int) -> Column:
+        """One of values in the place of ``over`` characters."""
+        at = F.floor(u(slot + "at") * (F.length(t) + 1 - over)).cast("int")
+        new = F.concat(F.substr(t, F.lit(1), at), _of(values, F.floor(u(slot + "of") * len(values))), F.substr(t, at + 1 + over))
+        return F.when(u(slot) < share, new).otherwise(t)
+
+    chars = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+    rest = _let(chars, lambda c: F.when(fewer & (F.size(c) > 3), deleted(c)).otherwise(c))
+    noisy = F.array_join(_let(rest, lambda c: F.when(more, spliced(c)).otherwise(c)), "")
+    noisy = _let(noisy, lambda t: glitched(t, "over", OVERWRITES, 0.3, 1))
+    noisy = _let(noisy, lambda t: glitched(t, "ins", INSERTS, 0.2, 0))
+    return F.when(text != "", noisy).otherwise(text)
 
 
 def word_examples(keys: DataFrame, archive: DataFrame, citations: DataFrame, seed: int, low: int = 40, high: int = 110, refs: int = 4, noise: float = 0.75) -> DataFrame:

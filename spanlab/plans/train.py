@@ -9,10 +9,11 @@ from ..operators import scoring, spans, synth
 
 
 def labelled(examples: DataFrame) -> DataFrame:
-    """(key, text, spans) -> tokens with labels, keyed by doc_id."""
+    """(key, text, spans) -> tokens with labels, keyed by doc_id.  Spans are clamped to the text, sorted and merged where they overlap or touch."""
     docs = examples.select(F.col("key").alias("doc_id"), "text")
-    marks = examples.select(F.col("key").alias("doc_id"), "text", F.posexplode("spans").alias("idx", "s")).select("doc_id", "idx", F.col("s.start").alias("start"), F.col("s.end").alias("end"))
-    return spans.project(spans.token_spans(docs), marks)
+    marks = examples.select(F.col("key").alias("doc_id"), F.length("text").alias("text_len"), F.explode("spans").alias("s")).select(
+        "doc_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "text_len")
+    return spans.project(spans.token_spans(docs), spans.merge_overlapping(marks))
 
 
 def train(lines: DataFrame, targets: DataFrame, n: int, seed: int = 42, supervised: DataFrame | None = None, repeat: int = 1, reach: int = 3) -> scoring.MLScorer:
