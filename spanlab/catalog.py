@@ -360,6 +360,35 @@ def subword_labels(spark, sf_dir):
     return citations(spark, sf_dir).select("o_orderkey", ids.alias("ids"), words.bioe(w).alias("tags")).select("o_orderkey", F.array_join(words.align_subwords(F.col("ids"), F.col("tags")), ",").alias("labels"))
 
 
+def _gold_examples(spark, sf_dir) -> DataFrame:
+    """CVs as examples (key, text, spans) with the unmerged gold spans."""
+    marks = gold(spark, sf_dir).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
+    return cvs(spark, sf_dir).join(marks, "doc_id", "left").select(F.col("doc_id").alias("key"), "text", F.coalesce("spans", none).alias("spans"))
+
+
+@query(f"""WITH {CV_SQL}, {_LAB}, ex AS (SELECT doc_id, md5(string_agg(token, ' ' ORDER BY pos)) AS tokens, md5(string_agg(label::VARCHAR, ' ' ORDER BY pos)) AS labels,
+ coalesce(min(pos) FILTER (WHERE label > 0), -1)::INT AS insert_start, coalesce(max(pos) FILTER (WHERE label > 0) + 1, -1)::INT AS insert_end FROM lab GROUP BY doc_id),
+sv AS (SELECT doc_id, string_agg(substr(text, start::BIGINT + 1, ("end" - start)::BIGINT), ' ||| ' ORDER BY start) AS v, string_agg(start::BIGINT::VARCHAR || '-' || "end"::BIGINT::VARCHAR, ',' ORDER BY start) AS s FROM mg JOIN cvs USING (doc_id) GROUP BY doc_id)
+SELECT ex.doc_id AS key, tokens, labels, insert_start, insert_end, coalesce(v, '') AS inserted_value, coalesce(s, '') AS insert_spans FROM ex LEFT JOIN sv USING (doc_id)""")
+def example_rows(spark, sf_dir):
+    from .plans import train
+
+    rows = train.example_rows(_gold_examples(spark, sf_dir))
+    digest = lambda c: F.md5(F.array_join(c, " ").cast("binary")).alias(c.split("_")[-1])
+    spans_of = F.array_join(F.transform("insert_spans", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return rows.select("key", digest("abstract_tokens"), digest("labels"), "insert_start", "insert_end", "inserted_value", spans_of.alias("insert_spans"))
+
+
+@query(f"""WITH {CV_SQL}, {_LAB} SELECT doc_id AS key, count(*)::BIGINT AS n, md5(string_agg(({_IDS})::VARCHAR, ' ' ORDER BY pos)) AS ids, md5(string_agg(label::VARCHAR, ' ' ORDER BY pos)) AS labels FROM lab WHERE pos < 200 GROUP BY doc_id""")
+def encoded_examples(spark, sf_dir):
+    from .plans import train
+
+    rows = train.example_rows(_gold_examples(spark, sf_dir)).select("key", shapes.encode_example(F.col("abstract_tokens"), F.col("labels"), 200).alias("x"))
+    digest = lambda c: F.md5(F.array_join(c, " ").cast("binary"))
+    return rows.select("key", F.size("x.attention_mask").cast("bigint").alias("n"), digest("x.input_ids").alias("ids"), digest("x.labels").alias("labels"))
+
+
 # ---- span post-processing ----------------------------------------------------------------------
 
 
@@ -436,6 +465,16 @@ def candidate_scores(spark, sf_dir):
     return rows.select("doc_id", *[F.round(c, 6).alias(c) for c in ("max_pos_prob", "mean_pos_prob", "mean_topk_pos_prob", "positive_fraction")], "token_count")
 
 
+_SIGNS = ", ".join(f"'{x}'" for x in scoring.RuleScorer.SIGNS)
+
+
+@query(f"""WITH {CV_SQL}, {_CV_TOKENS}, b AS (SELECT doc_id, max("end") AS e FROM tok WHERE pos < 300 GROUP BY doc_id HAVING bool_or(token IN ({_SIGNS})))
+SELECT doc_id, 0::BIGINT AS start, e::BIGINT AS "end", substr(text, 1, e::BIGINT) AS value FROM b JOIN cvs USING (doc_id)""")
+def predicted_boundaries(spark, sf_dir):
+    """With the rule scorer: all scored tokens of a text that shows a sign."""
+    return plans.boundaries(cvs(spark, sf_dir), scoring.RuleScorer(), limit=300)
+
+
 @query(f"""WITH {CV_SQL}, {_CLEAN}, good AS (SELECT doc_id, start, value, clean FROM cl WHERE clean <> '' AND NOT {O.other('clean')} AND {O.apa('clean')} >= 3)
 SELECT DISTINCT doc_id, (start + instr(value, clean) - 1)::BIGINT AS start, (start + instr(value, clean) - 1 + length(clean))::BIGINT AS "end", clean AS value FROM good WHERE doc_id IN (SELECT doc_id FROM bib)""")
 def extracted_blocks(spark, sf_dir):

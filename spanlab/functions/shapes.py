@@ -143,3 +143,9 @@ def encode(names: Column, max_length: int = 512) -> Column:
     """Token ids, unknown names as 1, cut off at max_length: array<int>."""
     ids = F.create_map(*[F.lit(x) for pair in ((t, i) for i, t in enumerate(VOCAB)) for x in pair])
     return F.transform(F.slice(names, 1, max_length), lambda t: F.coalesce(F.try_element_at(ids, t), F.lit(1)))
+
+
+def encode_example(names: Column, labels: Column, max_length: int = 512) -> Column:
+    """struct<input_ids, attention_mask, labels>: ids as encode() makes them, and labels cut off with them."""
+    ids = encode(names, max_length)
+    return F.struct(ids.alias("input_ids"), F.transform(ids, lambda _: F.lit(1)).alias("attention_mask"), F.slice(labels, 1, max_length).alias("labels"))

@@ -6,6 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def model_tokens(positions: int | None = None, tokenizer_max: int | None = None, default: int = 512) -> int:
+    """Tokens that a model takes: the least of its positions and its tokenizer's limit, as far as these are known.
+
+    Limits below 1 and tokenizer limits of 100,000 and more stand for unknown.
+    """
+    known = [n for n, below in ((positions, None), (tokenizer_max, 100_000)) if isinstance(n, int) and n > 0 and (below is None or n < below)]
+    return min(known, default=default)
+
+
 def limits(model_tokens: int = 512, size: int | None = None, overlap: int = 128) -> tuple[int, int]:
     """Window size and stride; raises ValueError for arguments that make no window."""
     safe = max(64, model_tokens - 64)

@@ -2,17 +2,20 @@
 
 A scorer maps tokens (doc_id, pos, token, ...) to the same rows plus p_o, p_b,
 p_i.  RuleScorer needs no training; MLScorer is a Spark ML pipeline over the
-shapes around a token; any other model fits in as a function of DataFrames
-(for instance with predict_batch_udf inside).
+shapes around a token; BatchScorer runs any other model over token ids.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from ..functions.hashrand import unit
+from ..functions.shapes import encode
 
 
 class RuleScorer:
@@ -39,10 +42,10 @@ class HashScorer:
 
 
 class MLScorer:
-    """Multinomial logistic regression over one-hot shapes at offsets -reach..reach."""
+    """Multinomial logistic regression over one-hot shapes at offsets -reach..reach; names: a column for each label."""
 
-    def __init__(self, reach: int = 3, model=None):
-        self.reach, self.model = reach, model
+    def __init__(self, reach: int = 3, model=None, names: tuple[str, ...] = ("p_o", "p_b", "p_i")):
+        self.reach, self.model, self.names = reach, model, names
 
     def _features(self, tokens: DataFrame) -> DataFrame:
         order = W.partitionBy("doc_id").orderBy("pos")
@@ -66,16 +69,50 @@ class MLScorer:
         from pyspark.ml.functions import vector_to_array
 
         out = self.model.transform(self._features(tokens)).withColumn("_p", vector_to_array("probability"))
-        return out.select(*tokens.columns, *[F.get("_p", F.lit(k)).alias(n) for k, n in enumerate(("p_o", "p_b", "p_i"))])
+        # a label that no training row has gets 0
+        return out.select(*tokens.columns, *[F.coalesce(F.get("_p", F.lit(k)), F.lit(0.0)).alias(n) for k, n in enumerate(self.names)])
 
     def save(self, path: str) -> None:
         self.model.write().overwrite().save(path)
 
     @classmethod
-    def load(cls, path: str, reach: int = 3) -> MLScorer:
+    def load(cls, path: str, reach: int = 3, names: tuple[str, ...] = ("p_o", "p_b", "p_i")) -> MLScorer:
         from pyspark.ml import PipelineModel
 
-        return cls(reach, PipelineModel.load(path))
+        return cls(reach, PipelineModel.load(path), names)
+
+
+class BatchScorer:
+    """Any model of a document's token ids, through predict_batch_udf.
+
+    make_predict: called once in each worker; returns a function from an int array (documents, limit) of ids,
+    padded with 0, to a float array (documents, limit * 3) of P(O), P(B), P(I) by token.  Tokens from ``limit``
+    on are not scored: P(O) = 1.
+    """
+
+    def __init__(self, make_predict, limit: int = 512, batch_size: int = 64):
+        self.make_predict, self.limit, self.batch_size = make_predict, limit, batch_size
+
+    def transform(self, tokens: DataFrame) -> DataFrame:
+        from pyspark.ml.functions import predict_batch_udf
+
+        run = predict_batch_udf(self.make_predict, return_type=ArrayType(FloatType()), batch_size=self.batch_size, input_tensor_shapes=[[self.limit]])
+        per = tokens.where(F.col("pos") < self.limit).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]).alias("t"))
+        ids = encode(F.col("t"), self.limit)
+        padded = per.select("doc_id", F.concat(ids, F.array_repeat(F.lit(0), F.lit(self.limit) - F.size(ids))).alias("ids"))
+        scored = padded.select("doc_id", run("ids").alias("_p"))
+        found = tokens.join(scored, "doc_id", "left")
+        at = lambda k: F.when(F.col("pos") < self.limit, F.get("_p", F.col("pos") * 3 + k)).cast("double")
+        return found.select(*tokens.columns, F.coalesce(at(0), F.lit(1.0)).alias("p_o"), *[F.coalesce(at(k), F.lit(0.0)).alias(n) for k, n in ((1, "p_b"), (2, "p_i"))])
+
+
+def evaluate(scorer: MLScorer, labelled: DataFrame) -> dict[str, float]:
+    """Accuracy and mean negative log likelihood of the gold labels; both nan without rows."""
+    p = F.array(*[F.col(n) for n in scorer.names])
+    best = F.array_position(p, F.array_max(p)) - 1
+    own = F.get(p, F.col("label"))
+    got = scorer.transform(labelled).agg(F.avg((best == F.col("label")).cast("double")), F.avg(-F.log(F.greatest(own, F.lit(1e-12))))).first()
+    return {"accuracy": math.nan if got[0] is None else got[0], "loss": math.nan if got[1] is None else got[1]}
 
 
 def best_label(p_o: Column, p_b: Column, p_i: Column) -> Column:

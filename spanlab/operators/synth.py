@@ -174,3 +174,8 @@ def split(rows: DataFrame, key: str, seed: int, held: float = 0.15) -> DataFrame
 def repeat(rows: DataFrame, times: int) -> DataFrame:
     """Each row ``times`` times, with copy 1, 2, ..."""
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(times))))
+
+
+def shuffled(rows: DataFrame, key: str, seed: int) -> DataFrame:
+    """rows in an order drawn by hash of (seed, key); ties by key."""
+    return rows.orderBy(unit(seed, F.col(key), "shuffle"), key)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.chars import slice_text
+from ..functions.shapes import token_of
 from ..operators import scoring, spans, synth
 
 
@@ -16,6 +18,39 @@ def labelled(examples: DataFrame) -> DataFrame:
     return spans.project(spans.token_spans(docs), spans.merge_overlapping(marks))
 
 
+def example_rows(examples: DataFrame) -> DataFrame:
+    """(key, text, spans) -> key, raw_text, abstract_tokens, labels, insert_start, insert_end, inserted_value, insert_spans.
+
+    insert_start and insert_end are token places, -1 without a span; inserted_value joins the texts of the merged
+    spans with ' ||| '.  An empty text has no tokens.
+    """
+    docs = examples.select(F.col("key").alias("doc_id"), "text")
+    marks = examples.select(F.col("key").alias("doc_id"), F.length("text").alias("text_len"), F.explode("spans").alias("s")).select(
+        "doc_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "text_len")
+    merged = spans.merge_overlapping(marks)
+    rows = spans.project(spans.token_spans(docs), merged)
+    per = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "token", "label"))).alias("t"))
+    own = merged.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("insert_spans"))
+    both = docs.join(per, "doc_id", "left").join(own, "doc_id", "left").withColumn("insert_spans", F.coalesce("insert_spans", F.array().cast("array<struct<start:bigint,end:bigint>>")))
+    first, last = (F.array_position(x, True) for x in (F.transform("labels", lambda v: v > 0), F.reverse(F.transform("labels", lambda v: v > 0))))
+    value = F.array_join(F.transform("insert_spans", lambda x: slice_text(F.col("text"), x["start"], x["end"])), " ||| ")
+    lists = both.select("doc_id", "text", "insert_spans", F.coalesce("t.token", F.array().cast("array<string>")).alias("abstract_tokens"),
+                        F.coalesce("t.label", F.array().cast("array<int>")).alias("labels"), value.alias("inserted_value"))
+    return lists.select(F.col("doc_id").alias("key"), F.col("text").alias("raw_text"), "abstract_tokens", "labels", F.coalesce(first - 1, F.lit(-1)).cast("int").alias("insert_start"),
+                        F.when(last > 0, F.size("labels") - last + 1).otherwise(-1).cast("int").alias("insert_end"), "inserted_value", "insert_spans")
+
+
+def train_words(examples: DataFrame, seed: int = 42, held: float = 0.1, reach: int = 3) -> tuple[scoring.MLScorer, dict[str, float]]:
+    """(key, tokens, ner_tags) -> a scorer of words with p_o, p_b, p_i, p_e, and accuracy and loss on the held-out examples.
+
+    A word is seen by its shape and those of its neighbours.
+    """
+    rows = synth.split(examples, "key", seed, held).select("key", "is_train", F.posexplode(F.arrays_zip("tokens", "ner_tags")).alias("pos", "x"))
+    words = rows.select(F.col("key").alias("doc_id"), "is_train", "pos", token_of(F.col("x.tokens")).alias("token"), F.col("x.ner_tags").alias("label"))
+    scorer = scoring.MLScorer(reach, names=("p_o", "p_b", "p_i", "p_e")).fit(words.where("is_train").drop("is_train"))
+    return scorer, scoring.evaluate(scorer, words.where("not is_train").drop("is_train"))
+
+
 def train(lines: DataFrame, targets: DataFrame, n: int, seed: int = 42, supervised: DataFrame | None = None, repeat: int = 1, reach: int = 3) -> scoring.MLScorer:
     """A scorer fitted on n synthetic examples and, if given, supervised ones (key, text, spans) each ``repeat`` times."""
     rows = labelled(synth.synthetic_set(lines, targets, n, seed))

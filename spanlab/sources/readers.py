@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.chars import strip
-from ..operators.synth import drop_links_sometimes
+from ..operators.synth import drop_links_sometimes, split
 
 # Keys of supervised items, by priority.
 TEXT_KEYS = ["text", "passage", "raw_text", "content"]
@@ -83,6 +83,19 @@ def normalise(rows: DataFrame) -> DataFrame:
     return rows.where(is_object).select("_file", "part", "pos", text.alias("text"), both.alias("spans")).where("text <> ''")
 
 
+def supervised_sets(rows: DataFrame, seed: int = 42, held: float = 0.15) -> DataFrame:
+    """normalise() -> key, text, spans, is_train: layouts that are split stay so, the others are split by hash."""
+    keyed = rows.select(F.concat_ws("/", "_file", "part", "pos").alias("key"), "part", "text", "spans")
+    given = keyed.where("part <> 'all'").withColumn("is_train", F.col("part") == "train")
+    return given.unionByName(split(keyed.where("part = 'all'"), "key", seed, held)).drop("part")
+
+
+def read_supervised(spark: SparkSession, path: str, seed: int = 42, held: float = 0.15) -> DataFrame:
+    """JSON files of any supervised layout, a file a document -> key, text, spans, is_train."""
+    raw = spark.read.text(path, wholetext=True).withColumnRenamed("value", "json")
+    return supervised_sets(normalise(items(raw)), seed, held)
+
+
 def write_supervised(examples: DataFrame, path: str) -> None:
     """JSON lines of {text, boundaries: [{start, end}]}."""
     examples.select("text", "boundaries").write.mode("overwrite").json(path)
