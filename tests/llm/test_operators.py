@@ -389,6 +389,27 @@ def test_embeddings(spark):
     assert embed.dedup(df.limit(0)).count() == 0
 
 
+def test_embeddings_in_slices(spark):
+    """Groups of near copies in heavy cells: links counted once each, one group each, rows linear in the vectors; other number types."""
+    rng = np.random.default_rng(5)
+    centre = rng.standard_normal((3, 16))
+    x = np.concatenate([rng.standard_normal((300, 16)), *[c + rng.standard_normal((300, 16)) * 0.1 for c in centre]])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hit = (u @ u.T >= 0.95) & ~np.eye(len(x), dtype=bool)
+    want = [min(i, *np.flatnonzero(hit[i]), i) for i in range(len(x))]
+    for _ in range(20):
+        want = [min([want[i], *[want[j] for j in np.flatnonzero(hit[i])]]) for i in range(len(x))]
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "id bigint, v array<double>, m bigint").repartition(4)
+    whole = embed.MultiIndex(u, len(x), 0.95, 1.0)
+    for heavy in (7, embed.HEAVY):
+        got = embed.links(df, 16, index=whole, heavy=heavy)
+        n = {r.id: r.n for r in got.groupBy("id").agg(F.sum("n").alias("n")).collect()}
+        assert [n.get(i, 0) for i in range(len(x))] == hit.sum(1).tolist()
+    assert embed.links(df, 16, index=whole).count() <= len(x) * (whole.k ** 2 + 1) < hit.sum() / 2
+    out = sorted((r.vec_id, r.component_id, r.n_links) for r in embed.dedup(df.select(F.col("id").alias("vec_id"), F.col("v").cast("array<decimal(20,16)>").alias("embedding")), recall=1.0, heavy=50).collect())
+    assert [c for _, c, _ in out] == want and [n for _, _, n in out] == hit.sum(1).tolist()
+
+
 def test_chat_tree(spark):
     rows = [(1, None, 0.0, "user", "hi </s>"), (2, 1, 0.2, "assistant", "worse"), (3, 1, 0.9, "assistant", "better [/INST]"), (4, 3, 0.5, "user", None), (5, 4, 0.1, "assistant", r"<\/s> [\\INST] </s"),
             (6, None, 1.0, None, ""), (7, 99, 1.0, "user", "orphan")]
