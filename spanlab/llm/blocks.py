@@ -147,14 +147,14 @@ class Blocks:
     be null or repeated.  With ``rest`` the blocks hold all columns of docs, and ``emit`` gives rows back.
     """
 
-    def __init__(self, docs: DataFrame, block_bytes: int = BLOCK_BYTES, rest: bool = False, text: str = "text"):
-        """docs: doc_id (null: NO_ID) and a text column (null: empty)."""
+    def __init__(self, docs: DataFrame, block_bytes: int = BLOCK_BYTES, rest: bool = False, text: str = "text", key: str | None = "doc_id"):
+        """docs: key (null: NO_ID; None: rows have no numbers) and a text column (null: empty)."""
         spark = docs.sparkSession
         self.spark, self.parts, self.docs, self.text = spark, shared.tasks(docs), docs, text
         self.name = f"spanlab_blocks_{uuid.uuid4().hex}"
         self.path = f"{shared.folder(spark)}/{self.name}"
         others = [c for c in docs.columns if c != text] if rest else []
-        flat = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("_i"), F.col(text).cast("binary").alias("_t"),
+        flat = docs.select((F.coalesce(F.col(key).cast("bigint"), F.lit(NO_ID)) if key else F.lit(NO_ID)).alias("_i"), F.col(text).cast("binary").alias("_t"),
                            *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(others)], *[F.col(text).isNull().alias("_null")] * rest)
         try:
             (flat.mapInArrow(_cutter(self.parts, block_bytes, rest), BLOCK_SCHEMA + ", rest binary" * rest)

@@ -1,10 +1,11 @@
 """Byte-level BPE by corpus-level merge replay (operator 1).
 
-All distinct words of a corpus block are merged together: an inverted index
-maps each mergeable pair to the word positions that hold it, a heap hands out
-ranks in order, and a merge touches only the two neighbours of each position.
-The corpus of one replay is what a task has read since the last one; words
-already replayed are remembered in a memo of bounded size.  No shuffle.
+Texts are written once as blocks.  Each block sends its distinct words that are
+no token themselves to hash buckets, so that a word of the corpus is replayed
+once, whatever the number of texts that hold it.  A bucket merges its distinct
+words together: an inverted index maps each mergeable token pair to the word
+positions that hold it, merges are applied in rank order, and a merge touches
+only the two neighbours of each position.  The ids go back to the blocks.
 """
 
 from __future__ import annotations
@@ -13,8 +14,8 @@ import base64
 import hashlib
 import heapq
 import re
-import struct
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +23,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of distinct words whose ids a task remembers before it starts anew.
-MEMO_WORDS = 400_000
-#: Characters of text that are split, replayed and encoded together.
-BATCH_CHARS = 1 << 20
+from . import blocks as B
+from . import shared
+from .npwords import slices
+
+#: Bytes of distinct words of a bucket that are merged together; bounds a replay's memory.
+REPLAY_BYTES = 1 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -57,7 +60,22 @@ class Replay:
         out: list = [None] * len(words)
         ids: list[int] = []
         bounds: list[tuple[int, int, int]] = []
-        where: dict[int, list[int]] = {}  # the inverted index: merged rank -> positions of the left part
+        where: dict[int, list[int]] = {}  # the inverted index: token pair -> positions of its left part
+        makers: dict[int, list[int]] = {}  # rank -> pairs of the index that make it
+        heap: list[int] = []
+        push = heapq.heappush
+
+        def note(key: int, rank: int, at: int) -> None:
+            if key in where:
+                where[key].append(at)
+                return
+            where[key] = [at]
+            if rank in makers:
+                makers[rank].append(key)
+            else:
+                makers[rank] = [key]
+                push(heap, rank)
+
         for n, w in enumerate(words):
             whole = ranks.get(w)
             if whole is not None:
@@ -68,23 +86,16 @@ class Replay:
             ids += row
             ids.append(-1)  # ends the word: merges with nothing
             bounds.append((n, at, len(ids) - 1))
-            for a, b in zip(row, row[1:]):
-                r = pair(a << _BIT | b)
+            for at, (a, b) in enumerate(zip(row, row[1:]), at):
+                key = a << _BIT | b
+                r = pair(key)
                 if r is not None:
-                    if r in where:
-                        where[r].append(at)
-                    else:
-                        where[r] = [at]
-                at += 1
+                    note(key, r, at)
         left = list(range(-1, len(ids) - 1))
         right = list(range(1, len(ids) + 1))
-        heap = list(where)
-        heapq.heapify(heap)
-        push = heapq.heappush
         while heap:
             r = heapq.heappop(heap)
-            spots = where.pop(r)
-            spots.sort()
+            spots = sorted(p for key in makers.pop(r) for p in where.pop(key))
             stop = -1  # up to here the word waits: a lower merge has just appeared in it
             later: list[int] = []
             for p in spots:
@@ -105,31 +116,24 @@ class Replay:
                 c = ids[s]
                 lower = False
                 if c >= 0:
-                    x = pair(r << _BIT | c)
+                    key = r << _BIT | c
+                    x = pair(key)
                     if x is not None:
-                        if x in where:
-                            where[x].append(p)
-                        else:
-                            where[x] = [p]
-                            push(heap, x)
+                        note(key, x, p)
                         lower = x < r
                 o = left[p]
                 if o >= 0 and ids[o] >= 0:
-                    x = pair(ids[o] << _BIT | r)
+                    key = ids[o] << _BIT | r
+                    x = pair(key)
                     if x is not None:
-                        if x in where:
-                            where[x].append(o)
-                        else:
-                            where[x] = [o]
-                            push(heap, x)
+                        note(key, x, o)
                         lower = lower or x < r
                 if lower:
                     stop = s
                     while ids[stop] != -1:
                         stop = right[stop]
-            if later:
-                where[r] = later
-                push(heap, r)
+            for p in later:
+                note(ids[p] << _BIT | ids[right[p]], r, p)
         for n, a, b in bounds:
             out[n] = [x for x in ids[a:b] if x >= 0]
         return out
@@ -162,14 +166,21 @@ def low_pattern(pattern: str) -> str | None:
     return "".join(out)
 
 
+def _is_text(token: bytes) -> bool:
+    try:
+        return bool(token.decode())
+    except UnicodeDecodeError:
+        return False
+
+
 class Codec:
-    """Encodes texts through a replay memo and decodes ids."""
+    """Splits texts, merges words that are no tokens, encodes by words whose ids are known, and decodes ids."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.replay, self.find = Replay(ranks), regex.compile(pattern).findall
         low = low_pattern(pattern)
         self.find_low = re.compile(low).findall if low else None
-        self.memo: dict[str, bytes] = {}
+        self.whole = {t.decode(): r.to_bytes(4, "little") for t, r in ranks.items() if _is_text(t)}
         tokens = [b""] * (max(ranks.values()) + 1)
         for t, r in ranks.items():
             tokens[r] = t
@@ -182,17 +193,21 @@ class Codec:
             return self.find_low(text)
         return self.find(text)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [self.split(t) for t in texts]
-        if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
-        memo = self.memo
-        new = list(set().union(*split).difference(memo))
-        for w, ids in zip(new, self.replay.words([w.encode() for w in new])):
-            memo[w] = struct.pack(f"<{len(ids)}I", *ids)
-        get = memo.__getitem__
-        return [b"".join(map(get, s)) for s in split]
+    def unknown(self, texts: list[str]) -> set[str]:
+        """Distinct words of the texts that are no token."""
+        found: set[str] = set()
+        for t in texts:
+            found.update(self.split(t))
+        return found - self.whole.keys()
+
+    def merge(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of each word; about REPLAY_BYTES of words are replayed together."""
+        return [ids for a, b in slices(words, REPLAY_BYTES) for ids in self.replay.words(words[a:b])]
+
+    def encode(self, texts: list[str], ids: dict[str, bytes]) -> Iterator[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers, from those of its words that are no token."""
+        get = (self.whole | ids).__getitem__
+        return (b"".join(map(get, self.split(t))) for t in texts)
 
     def decode(self, ids: bytes) -> bytes:
         i = np.frombuffer(ids, "<u4")
@@ -212,48 +227,109 @@ def codec(ranks: dict[bytes, int], pattern: str) -> Codec:
     return _codecs[key]
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", keep_ids: bool = True) -> DataFrame:
-    """docs plus n_tokens, ids (array<int>, only if keep_ids), ids_sha256, decoded_sha256; narrow, streaming.
+def _by_bucket(words: set[str], parts: int) -> list[list[bytes]]:
+    """Sorted UTF-8 words of each hash bucket."""
+    out: list[list[bytes]] = [[] for _ in range(parts)]
+    for w in sorted(w.encode() for w in words):
+        out[zlib.crc32(w) % parts].append(w)
+    return out
+
+
+def _pack_words(words: list[bytes]) -> tuple[bytes, bytes]:
+    return B.pack_array(np.array([len(w) for w in words], "<u4")), B.squeeze(b"".join(words))
+
 
-    Null text counts as empty: no ids, digests of nothing.  Columns of docs that
-    clash with the new ones are replaced.  Rows are independent, so repeated
-    rows and empty tables need no care; a text of any length is encoded whole.
+def _unpack_words(lens: bytes, data: bytes) -> list[bytes]:
+    ends = np.cumsum(B.unpack_array(lens, "<u4"), dtype=np.int64).tolist()
+    data = B.expand(data)
+    return [data[a:b] for a, b in zip([0, *ends], ends)]
+
+
+def _merged(store: B.Blocks, tool: Callable[[], Codec]) -> DataFrame:
+    """Messages from buckets to blocks: of each word that a block asked about the number of ids, then all ids."""
+    parts = store.parts
+    label = B.labels(parts)
+
+    def send(batches):
+        codec = tool()
+        for row in B.rows(batches):
+            words = codec.unknown([t.decode() for t in B.unpack_block(row)[1]])
+            for bucket, some in enumerate(_by_bucket(words, parts)):
+                if some:
+                    yield B.one(B.ASKED, label[bucket], bucket, row["block"], *_pack_words(some))
+
+    def reply(batches):
+        got = [(r["bucket"], r["block"], _unpack_words(r["k"], r["v"])) for r in B.rows(batches)]
+        words = sorted(set().union(*(w for _, _, w in got)))
+        known = {w: np.array(ids, "<u4") for w, ids in zip(words, tool().merge(words))}
+        for bucket, block, asked in got:
+            ids = [known[w] for w in asked]
+            yield B.one(B.ASKED, 0, bucket, block, b"", B.pack_array(np.concatenate([np.array([len(x) for x in ids], "<u4"), *ids])))
+
+    return store.df.mapInArrow(send, B.MESSAGE).repartition(parts, "label").mapInArrow(reply, B.MESSAGE)
+
+
+def _known(words: list[list[bytes]], answers: list[dict] | None) -> dict[str, bytes]:
+    """Ids of a block's words by bucket, from the buckets' answers."""
+    out = {}
+    for a in answers or []:
+        asked = words[a["bucket"]]
+        got = B.unpack_array(a["a"], "<u4")
+        ends = (4 * np.cumsum(got[:len(asked)], dtype=np.int64)).tolist()
+        data = got[len(asked):].tobytes()
+        out |= {w.decode(): data[x:y] for w, x, y in zip(asked, [0, *ends], ends)}
+    return out
+
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", keep_ids: bool = True, keep_text: bool = True,
+           block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
+    """docs plus n_tokens, ids (array<int>, only if keep_ids), ids_sha256, decoded_sha256; without text unless keep_text.
+
+    Null text counts as empty: no ids, digests of nothing; it stays null.
+    Columns of docs that clash with the new ones are replaced.  Rows are
+    known by block and place, so repeated rows, null ids or none, and empty
+    tables need no care; a text of any length is encoded whole.  The result
+    is written to the shared folder.
     """
     made = ["n_tokens", "ids", "ids_sha256", "decoded_sha256"]
     docs = docs.drop(*[c for c in docs.columns if c in made and c != text])
     shipped = docs.sparkSession.sparkContext.broadcast(ranks)  # a vocabulary: fixed size
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = codec(shipped.value, pattern)
-        for batch in batches:
-            at = batch.schema.get_field_index(text)
-            texts = [t or "" for t in batch.column(at).to_pylist()]
-            lo = 0
-            while lo < len(texts):
-                hi, size = lo, 0
-                while hi < len(texts) and size < BATCH_CHARS:
-                    size += len(texts[hi]) + 1
-                    hi += 1
-                ids = tool.encode(texts[lo:hi])
-                new = {"n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64())}
-                if keep_ids:
-                    new["ids"] = pa.array([np.frombuffer(x, "<i4") for x in ids], pa.list_(pa.int32()))
-                new["ids_sha256"] = pa.array([hashlib.sha256(x).hexdigest() for x in ids])
-                new["decoded_sha256"] = pa.array([hashlib.sha256(tool.decode(x)).hexdigest() for x in ids])
-                part = batch.slice(lo, hi - lo)
-                keep = [(f.name, part.column(i)) for i, f in enumerate(batch.schema)]
-                yield pa.RecordBatch.from_arrays([c for _, c in keep] + list(new.values()), [n for n, _ in keep] + list(new))
-                lo = hi
-
-    schema = docs.schema
-    out = docs.mapInArrow(run, "struct<" + ",".join(
-        [f"`{f.name}`:{f.dataType.simpleString()}" for f in schema] + ["n_tokens:bigint"] + ["ids:array<int>"] * keep_ids
-        + ["ids_sha256:string", "decoded_sha256:string"]) + ">")
-    return out
+    def tool() -> Codec:
+        return codec(shipped.value, pattern)
+
+    columns = docs.columns
+    with B.Blocks(docs, block_bytes, rest=True, text=text, key=None) as store:
+        parts = store.parts
+        got = shared.put(_merged(store, tool), "merges")
+
+        def finish(batches):
+            codec = tool()
+            for row in B.rows(batches):
+                raw = B.unpack_block(row)[1]
+                texts = [t.decode() for t in raw]
+                known = _known(_by_bucket(codec.unknown(texts), parts), row["merges"])
+                out: dict[str, list] = {name: [] for name in made}
+                for x in codec.encode(texts, known):
+                    out["n_tokens"].append(len(x) // 4)
+                    out["ids"].append(np.frombuffer(x, "<i4") if keep_ids else None)
+                    out["ids_sha256"].append(hashlib.sha256(x).hexdigest())
+                    out["decoded_sha256"].append(hashlib.sha256(codec.decode(x)).hexdigest())
+                kinds = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32())}
+                old = B.restore(row, raw, list(range(len(raw))), columns, text)
+                cells = {name: old.column(i) for i, name in enumerate(columns) if keep_text or name != text}
+                cells |= {name: pa.array(out[name], kinds.get(name, pa.string())) for name in made if keep_ids or name != "ids"}
+                yield pa.RecordBatch.from_arrays(list(cells.values()), list(cells))
+
+        schema = "struct<" + ",".join([f"`{f.name}`:{f.dataType.simpleString()}" for f in docs.schema if keep_text or f.name != text]
+                                      + ["n_tokens:bigint"] + ["ids:array<int>"] * keep_ids + ["ids_sha256:string", "decoded_sha256:string"]) + ">"
+        done = shared.put(store.df.join(B.by_block(got, "merges"), "block", "left").mapInArrow(finish, schema), "tokens")
+        shared.drop(got)
+    return done
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids") -> DataFrame:
-    """encoded plus text (binary), from an array<int> column; null ids: null."""
+    """encoded plus decoded (binary), from an array<int> column; null ids: null."""
     shipped = encoded.sparkSession.sparkContext.broadcast(ranks)
 
     @F.pandas_udf("binary")

@@ -17,7 +17,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     docs = _docs(spark, sf_dir).select("doc_id", "text")
-    return bpe.encode(docs, ranks, public_tokenizers.PATTERN, keep_ids=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return bpe.encode(docs, ranks, public_tokenizers.PATTERN, keep_ids=False, keep_text=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def op2_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
