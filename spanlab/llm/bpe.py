@@ -15,7 +15,7 @@ import hashlib
 import heapq
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -193,21 +193,18 @@ class Codec:
             return self.find_low(text)
         return self.find(text)
 
-    def unknown(self, texts: list[str]) -> set[str]:
-        """Distinct words of the texts that are no token."""
-        found: set[str] = set()
-        for t in texts:
-            found.update(self.split(t))
-        return found - self.whole.keys()
+    def unknown(self, split: Iterable[list[str]]) -> set[str]:
+        """Distinct words of split texts that are no token."""
+        return set().union(*split) - self.whole.keys()
 
     def merge(self, words: list[bytes]) -> list[list[int]]:
         """Ids of each word; about REPLAY_BYTES of words are replayed together."""
         return [ids for a, b in slices(words, REPLAY_BYTES) for ids in self.replay.words(words[a:b])]
 
-    def encode(self, texts: list[str], ids: dict[str, bytes]) -> Iterator[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers, from those of its words that are no token."""
+    def encode(self, split: Iterable[list[str]], ids: dict[str, bytes]) -> Iterator[bytes]:
+        """Ids of each split text as little-endian unsigned 32-bit integers, from those of its words that are no token."""
         get = (self.whole | ids).__getitem__
-        return (b"".join(map(get, self.split(t))) for t in texts)
+        return (b"".join(map(get, words)) for words in split)
 
     def decode(self, ids: bytes) -> bytes:
         i = np.frombuffer(ids, "<u4")
@@ -253,7 +250,7 @@ def _merged(store: B.Blocks, tool: Callable[[], Codec]) -> DataFrame:
     def send(batches):
         codec = tool()
         for row in B.rows(batches):
-            words = codec.unknown([t.decode() for t in B.unpack_block(row)[1]])
+            words = codec.unknown(codec.split(t.decode()) for t in B.unpack_block(row)[1])
             for bucket, some in enumerate(_by_bucket(words, parts)):
                 if some:
                     yield B.one(B.ASKED, label[bucket], bucket, row["block"], *_pack_words(some))
@@ -307,10 +304,10 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
             codec = tool()
             for row in B.rows(batches):
                 raw = B.unpack_block(row)[1]
-                texts = [t.decode() for t in raw]
-                known = _known(_by_bucket(codec.unknown(texts), parts), row["merges"])
+                split = [codec.split(t.decode()) for t in raw]
+                known = _known(_by_bucket(codec.unknown(split), parts), row["merges"])
                 out: dict[str, list] = {name: [] for name in made}
-                for x in codec.encode(texts, known):
+                for x in codec.encode(split, known):
                     out["n_tokens"].append(len(x) // 4)
                     out["ids"].append(np.frombuffer(x, "<i4") if keep_ids else None)
                     out["ids_sha256"].append(hashlib.sha256(x).hexdigest())
