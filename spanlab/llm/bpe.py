@@ -243,7 +243,7 @@ def _unpack_words(lens: bytes, data: bytes) -> list[bytes]:
 
 
 def _merged(store: B.Blocks, tool: Callable[[], Codec]) -> DataFrame:
-    """Messages from buckets to blocks: of each word that a block asked about the number of ids, then all ids."""
+    """Messages from buckets to blocks: of each word that a block asked about the number of ids, then all ids, in byte planes."""
     parts = store.parts
     label = B.labels(parts)
 
@@ -261,7 +261,8 @@ def _merged(store: B.Blocks, tool: Callable[[], Codec]) -> DataFrame:
         known = {w: np.array(ids, "<u4") for w, ids in zip(words, tool().merge(words))}
         for bucket, block, asked in got:
             ids = [known[w] for w in asked]
-            yield B.one(B.ASKED, 0, bucket, block, b"", B.pack_array(np.concatenate([np.array([len(x) for x in ids], "<u4"), *ids])))
+            numbers = np.concatenate([np.array([len(x) for x in ids], "<u4"), *ids])
+            yield B.one(B.ASKED, 0, bucket, block, b"", B.pack_array(numbers.view(np.uint8).reshape(-1, 4).T))
 
     return store.df.mapInArrow(send, B.MESSAGE).repartition(parts, "label").mapInArrow(reply, B.MESSAGE)
 
@@ -271,7 +272,8 @@ def _known(words: list[list[bytes]], answers: list[dict] | None) -> dict[str, by
     out = {}
     for a in answers or []:
         asked = words[a["bucket"]]
-        got = B.unpack_array(a["a"], "<u4")
+        planes = B.unpack_array(a["a"], np.uint8).reshape(4, -1)
+        got = np.ascontiguousarray(planes.T).view("<u4").ravel()
         ends = (4 * np.cumsum(got[:len(asked)], dtype=np.int64)).tolist()
         data = got[len(asked):].tobytes()
         out |= {w.decode(): data[x:y] for w, x, y in zip(asked, [0, *ends], ends)}
