@@ -1,9 +1,10 @@
 """Media columns: interleaved sequences of text and media (operator 5).
 
-HTML parsing gives each page an ordered sequence of items: text, or a reference
-to media by digest with its caption.  A digest join resolves the payloads; the
-position in the sequence travels with each reference, so order and captions
-stay aligned whatever the join does.  Media are binary PNG files, 8-bit grey.
+HTML parsing gives each page an array of items in order: text, or a reference
+to media by digest with its caption.  A digest join resolves the payloads; only
+page number and position travel with a reference, and what was found goes back
+into the item at that position, so order and captions stay aligned whatever the
+join does.  Media are binary PNG files, 8-bit grey.
 """
 
 from __future__ import annotations
@@ -16,12 +17,16 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import shared
+
 WIDTH = 192
 _SIGN = b"\x89PNG\r\n\x1a\n"
 ITEMS = "array<struct<position:int,kind:string,text:string,digest:string,caption:string>>"
+_ITEMS = pa.list_(pa.struct([("position", pa.int32()), *[(name, pa.string()) for name in ("kind", "text", "digest", "caption")]]))
 
 
 def _chunk(kind: bytes, data: bytes) -> bytes:
@@ -138,22 +143,31 @@ def sequence(html: str | None) -> list[dict]:
 
 
 def parse(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """pages -> key, position, kind, text, digest, caption: one row per item, in order of position."""
+    """pages -> page, key, items: one row per page, with its ordered items as an array of structs.
+
+    ``page`` numbers the rows, so null and repeated keys do no harm.  Null or
+    empty html has no items.  The rows are written to the shared folder, as a
+    number must not change when a task runs again.
+    """
+    kind = pages.select(F.col(key).alias("key")).schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 41
         for batch in batches:
-            got = [{"key": k} | item for k, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for item in sequence(h)]
-            if got:
-                yield pa.RecordBatch.from_pylist(got, schema=pa.schema([
-                    ("key", pa.int64()), ("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string())]))
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                items = [sequence(h) for h in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(range(number, number + len(items)), pa.int64()), part.column(0), pa.array(items, _ITEMS)], ["page", "key", "items"])
+                number += len(items)
 
-    return pages.select(F.col(key).cast("bigint"), html).mapInArrow(run, "key bigint, position int, kind string, text string, digest string, caption string").withColumnRenamed("key", key)
+    made = pages.select(F.col(key).alias("key"), F.col(html).alias("html")).mapInArrow(run, f"page bigint, key {kind}, items {ITEMS}")
+    return shared.put(made, "pages").withColumnRenamed("key", key)
 
 
 def store(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Texts as media: digest (SHA-256 of the padded payload), n_bytes, media (PNG bytes).
+    """Texts as media: digest (SHA-256 of the UTF-8 bytes; null: empty), n_bytes (of the text), media (PNG bytes of the padded text).
 
-    One row per distinct payload in each task; ``distinct_media`` makes that one in all.
+    A task repeats few texts; ``resolve`` makes one row per digest of them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,17 +176,15 @@ def store(docs: DataFrame, text: str = "text") -> DataFrame:
             out = {"digest": [], "n_bytes": [], "media": []}
             for data in batch.column(0).to_pylist():
                 data = data or b""
-                payload = pad(data)
-                mark = hashlib.sha256(payload).digest()
-                own = mark + len(data).to_bytes(8, "little")
-                if own in seen:
+                mark = hashlib.sha256(data).digest()
+                if mark in seen:
                     continue
                 if len(seen) > 1_000_000:
                     seen.clear()
-                seen.add(own)
+                seen.add(mark)
                 out["digest"].append(mark.hex())
                 out["n_bytes"].append(len(data))
-                out["media"].append(to_png(payload))
+                out["media"].append(to_png(pad(data)))
                 if sum(map(len, out["media"][-64:])) > 16 << 20 or len(out["media"]) >= 256:
                     yield _batch(out)
                     out = {"digest": [], "n_bytes": [], "media": []}
@@ -186,40 +198,43 @@ def _batch(out: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"digest": pa.array(out["digest"]), "n_bytes": pa.array(out["n_bytes"], pa.int64()), "media": pa.array(out["media"], pa.binary())})
 
 
-FACTS = "digest string, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+FACTS = "digest string, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
 
 
 def examine(media: DataFrame) -> DataFrame:
-    """digest, media -> facts of each distinct media, all from the samples read back."""
+    """digest, n_bytes, media -> facts of each media; all but n_bytes from the samples read back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = []
-            for digest, data in zip(batch.column(0), batch.column(1)):
+            for digest, n, data in zip(*batch.columns):
                 data = data.as_py()
                 payload = from_png(data)
-                got.append((digest.as_py(), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature(payload)))
+                got.append((digest.as_py(), n.as_py(), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature(payload)))
             if got:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*got)], ["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*got)], [c.split(" ")[0] for c in FACTS.split(", ")])
 
-    return media.select("digest", "media").mapInArrow(run, FACTS)
+    return media.select("digest", "n_bytes", "media").mapInArrow(run, FACTS)
 
 
 def page_of(docs: DataFrame, text: str = "text") -> DataFrame:
-    """A page for each document that shows its text as a figure: doc_id, html.  The digest is that of the padded UTF-8 bytes."""
+    """A page for each document that shows its text as a figure between two lines: doc_id, html."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, html = batch.column(0), []
             for i, data in zip(ids.to_pylist(), batch.column(1).to_pylist()):
-                data = data or b""
-                html.append(f'<article><h1>Document {i}</h1><figure><img src="sha256:{hashlib.sha256(pad(data)).hexdigest()}"><figcaption>{len(data)} bytes of document {i}</figcaption></figure></article>')
+                html.append(f'<article><h1>Document {i}</h1><figure><img src="sha256:{hashlib.sha256(data or b"").hexdigest()}"><figcaption>text of document {i}</figcaption></figure><p>end</p></article>')
             yield pa.RecordBatch.from_arrays([ids, pa.array(html, pa.string())], ["doc_id", "html"])
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col(text).cast("binary")).mapInArrow(run, "doc_id bigint, html string")
 
 
-def resolve(items: DataFrame, media: DataFrame) -> DataFrame:
-    """items (digest, position, ...) left-joined with the facts of their media: unresolved references and texts keep nulls."""
-    one = media.groupBy("digest").agg(F.first("media").alias("media"))
-    return items.join(examine(one), "digest", "left")
+def resolve(pages: DataFrame, media: DataFrame) -> DataFrame:
+    """parse()'s pages with a field ``media`` in each item: the facts of its media; null for texts and unresolved references."""
+    one = media.groupBy("digest").agg(F.first(F.struct("n_bytes", "media")).alias("_m")).select("digest", "_m.*")
+    facts = examine(one)
+    asked = pages.select("page", F.explode(F.filter("items", lambda i: i["kind"] == "media")).alias("_i")).select("page", "_i.position", "_i.digest")
+    found = asked.join(facts, "digest").groupBy("page").agg(F.map_from_entries(F.collect_list(F.struct("position", F.struct(*facts.columns[1:])))).alias("_found"))
+    return pages.join(found, "page", "left").withColumn(
+        "items", F.transform("items", lambda i: i.withField("media", F.col("_found")[i["position"]]))).drop("_found")

@@ -43,10 +43,9 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import media
 
     docs = _docs(spark, sf_dir).select("doc_id", "text")
-    items = media.parse(media.page_of(docs), "doc_id", "html").where("kind = 'media'")
-    sizes = F.regexp_extract("caption", r"^(\d+) bytes", 1).cast("bigint").alias("n_bytes")
-    return media.resolve(items, media.store(docs)).select(
-        "doc_id", sizes, "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+    pages = media.resolve(media.parse(media.page_of(docs), "doc_id", "html"), media.store(docs))
+    shown = pages.select("doc_id", F.size("items").alias("n_items"), F.explode(F.filter("items", lambda i: i["kind"] == "media")).alias("i"))
+    return shown.select("doc_id", "i.media.*", "i.position", "i.caption", "n_items")
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -231,14 +231,38 @@ def test_mixing_odd_rows(spark):
 
 
 def test_media(spark, docs, nothing):
-    items = media.parse(media.page_of(docs), "doc_id", "html").where("kind = 'media'")
-    got = media.resolve(items, media.store(docs)).collect()
-    assert len(got) == docs.count()
+    got = media.resolve(media.parse(media.page_of(docs), "doc_id", "html"), media.store(docs)).collect()
     want = sorted(hashlib.sha256(media.pad((r.text or "").encode())).hexdigest() for r in docs.collect())
-    assert sorted(r.payload_sha256 for r in got) == want and all(r.payload_sha256 == r.digest for r in got)
+    assert sorted(r["items"][1].media.payload_sha256 for r in got) == want
+    for r in got:
+        assert [(i.position, i.kind, i.text, i.caption) for i in r["items"]] == [
+            (0, "text", f"Document {r.doc_id}", None), (1, "media", None, f"text of document {r.doc_id}"), (2, "text", "end", None)]
+        assert r["items"][0].media is None
     assert media.resolve(media.parse(media.page_of(nothing), "doc_id", "html"), media.store(nothing)).count() == 0
 
 
+def test_media_interleaved(spark):
+    """Several media between texts, the same one twice, one unresolved, pages with one id or none, and pages without items."""
+    mark = {t: hashlib.sha256(t.encode()).hexdigest() for t in ("one", "two", "gone")}
+    img = lambda t: f'<img src="sha256:{mark[t]}" alt="{t}!">'
+    html = f"a{img('two')}b{img('one')}{img('gone')}<p>c</p>{img('two')}"
+    pages = spark.createDataFrame([(1, html), (1, "x" + img("one")), (None, img("two")), (4, None), (5, ""), (6, html)], "page_id long, html string")
+    found = media.resolve(media.parse(pages, "page_id", "html"), media.store(spark.createDataFrame([("one",), ("two",), ("two",)], "text string"))).collect()
+    flat = [(r.page_id, [i.text or (i.caption, i.media and i.media.n_bytes, i.media and i.media.payload_sha256) for i in r["items"]]) for r in found]
+    one, two = (tuple([t + "!", 3, hashlib.sha256(media.pad(t.encode())).hexdigest()]) for t in ("one", "two"))
+    whole = ["a", two, "b", one, ("gone!", None, None), "c", two]
+    assert sorted(flat, key=str) == sorted([(1, whole), (1, ["x", one]), (None, [two]), (4, []), (5, []), (6, whole)], key=str)
+    assert all([i.position for i in r["items"]] == list(range(len(r["items"]))) for r in found)
+
+
+def test_media_of_raw_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    got = media.parse(pages, "page_id", "html").collect()
+    want = {r.page_id: media.sequence(r.html) for r in pages.collect()}
+    assert len(got) == pages.count() and sum(len(r["items"]) for r in got) > 0
+    assert all([i.asDict() for i in r["items"]] == want[r.page_id] for r in got)
+
+
 def test_media_sequence():
     html = '<p>a &amp; b</p><script>no</script><figure><img src="sha256:11"><img src="sha256:22" alt="x"><figcaption>two <b>things</b></figcaption></figure>tail<img src="z" alt="own">'
     got = [(x["position"], x["kind"], x["text"] or x["digest"], x["caption"]) for x in media.sequence(html)]
