@@ -43,7 +43,7 @@ def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     import public_tokenizers
 
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    return bpe.encode(docs, ranks, public_tokenizers.PATTERN).drop("text")
+    return bpe.encode(docs, ranks, public_tokenizers.PATTERN, keep_text=False)
 
 
 STAGES = [
