@@ -157,8 +157,9 @@ class Blocks:
         flat = docs.select((F.coalesce(F.col(key).cast("bigint"), F.lit(NO_ID)) if key else F.lit(NO_ID)).alias("_i"), F.col(text).cast("binary").alias("_t"),
                            *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(others)], *[F.col(text).isNull().alias("_null")] * rest)
         try:
-            (flat.mapInArrow(_cutter(self.parts, block_bytes, rest), BLOCK_SCHEMA + ", rest binary" * rest)
-             .write.bucketBy(self.parts, "block").option("path", self.path).option("compression", "none").saveAsTable(self.name))
+            with shared.small_batches(spark):
+                (flat.mapInArrow(shared.tidy(_cutter(self.parts, block_bytes, rest)), BLOCK_SCHEMA + ", rest binary" * rest)
+                 .write.bucketBy(self.parts, "block").option("path", self.path).option("compression", "none").saveAsTable(self.name))
         except BaseException:
             self.close()
             raise
@@ -200,7 +201,7 @@ class Blocks:
                     texts = unpack_block(r)[1]
                     yield restore(r, texts, sorted(x["row"] for x in r["told"]), columns, text)
 
-        return self.told(kept).mapInArrow(run, schema)
+        return self.told(kept).mapInArrow(shared.tidy(run), schema)
 
 
 def restore(r: dict, texts: list[bytes], keep: list[int], columns: list[str], text: str) -> pa.RecordBatch:
@@ -292,10 +293,10 @@ def ask(blocks: DataFrame, parts: int, keys: Callable, answer: Callable, told: D
         if sums is not None:
             yield one(TOTAL, 0, head[0][1], -1, b"", np.asarray(sums, np.float64).tobytes())
 
-    sent = blocks.mapInArrow(send, MESSAGE)
+    sent = blocks.mapInArrow(shared.tidy(send), MESSAGE)
     if told is not None:
         sent = sent.unionByName(told)
-    return sent.repartition(parts, "label").mapInArrow(reply, MESSAGE)
+    return sent.repartition(parts, "label").mapInArrow(shared.tidy(reply), MESSAGE)
 
 
 def by_block(replies: DataFrame, name: str) -> DataFrame:

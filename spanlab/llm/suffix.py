@@ -6,7 +6,8 @@ two documents; only stretches of text around those travel.  Each bucket sorts
 the suffixes of its stretches in two stages: suffixes smaller than their
 successors are sorted directly, the others are induced by scanning the
 character buckets.  Adjacent common prefixes of 50 bytes then show, for each
-string, the smallest document that has it.
+string, the smallest document that has it.  The number of buckets follows the
+number of blocks, and a bucket sorts a few megabytes at a time.
 """
 
 from __future__ import annotations
@@ -24,6 +25,9 @@ from .npwords import U64, mix, pack, slices
 
 WINDOW, GRAM = 50, 16
 NO_ID = B.NO_ID  # a null doc_id: after all others
+#: Bytes of stretches that are sorted together, whatever a bucket holds; and the parts of a bucket by least hash.
+SORT_BYTES, SUBS = 4 << 20, 256
+_STEP = 1 << 14  # places that become Python numbers together
 
 
 def least_hashes(buf: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -150,8 +154,24 @@ def two_stage(text: np.ndarray, valid: np.ndarray, depth: int = WINDOW) -> np.nd
     return found[valid[found]]
 
 
-def earlier(pieces: list[bytes], docs: np.ndarray, window: int = WINDOW) -> list[np.ndarray]:
-    """For each piece, for each of its windows: does the string also stand in a piece of a smaller document?"""
+def _classes(text: np.ndarray, count: int, window: int) -> np.ndarray:
+    """A number under count (256 at most) for each place of text, the same for equal windows.  text needs window + 8 bytes of padding."""
+    out = np.zeros(len(text), np.uint8)
+    n = len(text) - window - 8
+    for a in range(0, n, 1 << 18):
+        at = np.arange(a, min(a + (1 << 18), n))
+        h = np.zeros(len(at), U64)
+        for k in range(-(-window // 8)):
+            h = mix(h ^ _words(text, at, k, window))
+        out[at] = h % U64(count)
+    return out
+
+
+def earlier(pieces: list[bytes], docs: np.ndarray, window: int = WINDOW, limit: int = SORT_BYTES) -> list[np.ndarray]:
+    """For each piece, for each of its windows: does the string also stand in a piece of a smaller document?
+
+    Over limit bytes of distinct pieces, windows are dealt by content to rounds that sort about limit places each.
+    """
     first: dict[bytes, int] = {}
     same = np.fromiter((first.setdefault(p, len(first)) for p in pieces), np.int64, len(pieces))
     least = np.full(len(first), NO_ID)
@@ -160,21 +180,23 @@ def earlier(pieces: list[bytes], docs: np.ndarray, window: int = WINDOW) -> list
     text = np.frombuffer(b"".join(whole) + bytes(window + 8), np.uint8)
     size = np.array([len(p) for p in whole], np.int64)
     start = np.cumsum(size) - size
-    own = np.repeat(np.arange(len(whole), dtype=np.int32), size)
     valid = np.zeros(len(text), bool)
-    valid[: len(own)] = True
+    valid[: size.sum()] = True
     for k in range(1, window):
         valid[start + size - k] = False
-    order = two_stage(text, valid, window)
-    alike = np.ones(max(len(order) - 1, 0), bool)  # adjacent common prefix of window bytes
-    for k in range(-(-window // 8)):
-        spot = np.flatnonzero(alike)
-        alike[spot] = _words(text, order[spot], k, window) == _words(text, order[spot + 1], k, window)
-    head = np.concatenate([[0], np.flatnonzero(~alike) + 1]) if len(order) else np.zeros(0, np.int64)
-    doc = least[own[order]]
-    low = np.minimum.reduceat(doc, head) if len(order) else doc
+    rounds = min(-(-int(size.sum()) // limit), 256)
+    kind = _classes(text, rounds, window) if rounds > 1 else None
     hit = np.zeros(len(text), bool)
-    hit[order] = np.repeat(low, np.diff(np.concatenate([head, [len(order)]]))) < doc
+    for i in range(rounds):
+        order = two_stage(text, valid if kind is None else valid & (kind == i), window)
+        alike = np.ones(max(len(order) - 1, 0), bool)  # adjacent common prefix of window bytes
+        for k in range(-(-window // 8)):
+            spot = np.flatnonzero(alike)
+            alike[spot] = _words(text, order[spot], k, window) == _words(text, order[spot + 1], k, window)
+        head = np.concatenate([[0], np.flatnonzero(~alike) + 1]) if len(order) else np.zeros(0, np.int64)
+        doc = least[np.searchsorted(start, order, "right") - 1] if rounds > 1 else np.repeat(least, size)[order]
+        low = np.minimum.reduceat(doc, head) if len(order) else doc
+        hit[order] = np.repeat(low, np.diff(np.concatenate([head, [len(order)]]))) < doc
     out = []
     for p, s, d in zip(pieces, same, docs):
         n = len(p) - window + 1
@@ -205,6 +227,46 @@ def _shared_keys(bucket, kinds, ks, vs):
     return [both[p][:, None] for p in place], None, None
 
 
+def answers(messages: list[tuple[bytes, bytes]], window: int = WINDOW, limit: int = SORT_BYTES) -> list[bytes]:
+    """For each message of a bucket (pieces by ascending sub-bucket), which windows of its pieces are ``earlier``.
+
+    Equal windows are in one sub-bucket; neighbouring ones of about limit bytes together are worked on at a time.
+    """
+    heads, data, ends = [], [], []
+    for k, v in messages:
+        heads.append(B.unpack_array(k, np.int64).reshape(3, -1))
+        data.append(B.expand(v))
+        ends.append(np.cumsum(heads[-1][0]))
+    held = np.zeros(SUBS)
+    for size, _, sub in heads:
+        held += np.bincount(sub, weights=size, minlength=SUBS)
+    cuts, some = [0], 0
+    for i, n in enumerate(held.tolist()):
+        if some and some + n > limit:
+            cuts.append(i)
+            some = 0
+        some += n
+    at = [np.searchsorted(h[2], [*cuts, SUBS]).tolist() for h in heads]
+    out: list[list[np.ndarray]] = [[] for _ in heads]
+    for i in range(len(cuts)):
+        pieces, who, counts = [], [], []
+        for h, d, e, spot in zip(heads, data, ends, at):
+            a, b = spot[i], spot[i + 1]
+            stop = e[a:b].tolist()
+            pieces += [d[x:y] for x, y in zip([int(e[a - 1]) if a else 0, *stop], stop)]
+            who.append(h[1, a:b])
+            counts.append(b - a)
+        if not pieces:
+            continue
+        hits = earlier(pieces, np.concatenate(who), window, limit)
+        done = 0
+        for n, o in zip(counts, out):
+            if n:
+                o.append(np.concatenate(hits[done:done + n]))
+            done += n
+    return [B.pack_array(np.packbits(np.concatenate(o))) for o in out]
+
+
 class _Plan:
     """The stretches of a block that travel: one of each content, its bucket, and who else has it."""
 
@@ -218,13 +280,18 @@ class _Plan:
         self.own, self.at, self.size = own[order], at[order], size[order]
         seen: dict[bytes, int] = {}
         texts = self.texts
-        pieces = [texts[o][a: a + n] for o, a, n in zip(self.own.tolist(), self.at.tolist(), (self.size + window - 1).tolist())]
-        self.same = np.fromiter((seen.setdefault(p, len(seen)) for p in pieces), np.int64, len(pieces))
+        self.same = np.zeros(len(order), np.int64)
+        for a in range(0, len(order), _STEP):
+            part = slice(a, a + _STEP)
+            pieces = [texts[o][x: x + n] for o, x, n in zip(self.own[part].tolist(), self.at[part].tolist(), (self.size[part] + window - 1).tolist())]
+            self.same[part] = [seen.setdefault(p, len(seen)) for p in pieces]
         _, first = np.unique(self.same, return_index=True)
         self.pieces = list(seen)
         self.docs = self.ids[self.own[first]]
-        bucket = (mix(low[order][first] ^ U64(0x1357_9BDF)) % U64(fine)).astype(np.int64)
-        self.order = np.argsort(bucket, kind="stable")
+        drawn = mix(low[order][first] ^ U64(0x1357_9BDF))
+        bucket = (drawn % U64(fine)).astype(np.int64)
+        self.sub = (drawn // U64(fine) % U64(SUBS)).astype(np.int64)
+        self.order = np.argsort(bucket * SUBS + self.sub, kind="stable")
         self.bound = np.searchsorted(bucket[self.order], np.arange(fine + 1))
 
 
@@ -251,8 +318,8 @@ def without(text: bytes, edge: np.ndarray) -> bytes:
 
 def _covered(store: B.Blocks, window: int, made, schema) -> DataFrame:
     """made(block row, ids, texts, spans of each text) -> record batch, for each block; written."""
-    docs, parts = store.docs, store.parts
-    fine = max(parts, 4 * docs.rdd.getNumPartitions())  # stretches are longer than keys: smaller buckets
+    blocks = store.df.count()
+    parts, fine = max(store.parts, blocks // 2), max(store.parts, blocks)  # a bucket's share doesn't grow with the input
     label = B.labels(fine)
     common = shared.put(B.by_block(B.ask(store.df, parts, _ask_keys(window), _shared_keys), "common"), "common")
 
@@ -263,31 +330,19 @@ def _covered(store: B.Blocks, window: int, made, schema) -> DataFrame:
                 mine = p.order[p.bound[i]:p.bound[i + 1]]
                 if len(mine):
                     got = [p.pieces[j] for j in mine.tolist()]
-                    head = np.array([[len(x) for x in got], p.docs[mine]], np.int64)
+                    head = np.array([[len(x) for x in got], p.docs[mine], p.sub[mine]], np.int64)
                     yield B.one(B.ASKED, label[i], i, row["block"], B.pack_array(head), B.squeeze(b"".join(got)))
 
     def reply(batches):
         got = list(B.rows(batches))
         if not got:
             return
-        pieces, who, counts = [], [], []
-        for r in got:
-            size, doc = B.unpack_array(r["k"], np.int64).reshape(2, -1)
-            data, ends = B.expand(r["v"]), np.cumsum(size).tolist()
-            pieces += [data[a:b] for a, b in zip([0, *ends], ends)]
-            who.append(doc)
-            counts.append(len(size))
-        for r in got:
-            r["k"] = r["v"] = None
-        hits = earlier(pieces, np.concatenate(who), window)
-        at = 0
-        for r, n in zip(got, counts):
-            yield B.one(B.ASKED, 0, r["bucket"], r["block"], b"", B.pack_array(np.packbits(np.concatenate(hits[at:at + n]))))
-            at += n
+        for r, hits in zip(got, answers([(r.pop("k"), r.pop("v")) for r in got], window)):
+            yield B.one(B.ASKED, 0, r["bucket"], r["block"], b"", hits)
 
     joined = store.df.join(common, "block", "left")
     asked = joined.select("block", "ids", "lens", "text", "common")
-    hits = B.by_block(asked.mapInArrow(send, B.MESSAGE).repartition(fine, "label").mapInArrow(reply, B.MESSAGE), "hits")
+    hits = B.by_block(asked.mapInArrow(shared.tidy(send), B.MESSAGE).repartition(fine, "label").mapInArrow(shared.tidy(reply), B.MESSAGE), "hits")
 
     def finish(batches):
         for row in B.rows(batches):
@@ -301,24 +356,27 @@ def _covered(store: B.Blocks, window: int, made, schema) -> DataFrame:
                 for j in mine.tolist():
                     by_piece[j] = bits[at: at + windows[j]]
                     at += windows[j]
-            cover = [np.zeros(len(t) + 1, np.int32) for t in p.texts]
+            ends = np.cumsum([len(t) + 1 for t in p.texts])
+            first = np.concatenate([[0], ends])[p.own] + p.at
             later = p.ids[p.own] > p.docs[p.same] if len(p.same) else np.zeros(0, bool)
-            for o, a, n, s, more in zip(p.own.tolist(), p.at.tolist(), p.size.tolist(), p.same.tolist(), later.tolist()):
-                if more:
-                    cover[o][a] += 1
-                    cover[o][a + n + window - 1] -= 1
-                else:
+            up, down = np.zeros((2, ends[-1] + 1), bool)  # a window is in one stretch: at most one starts, and one ends, at a place
+            up[first[later]] = True
+            down[(first + p.size + window - 1)[later]] = True
+            rest = np.flatnonzero(~later)
+            for lo in range(0, len(rest), _STEP):
+                part = rest[lo:lo + _STEP]
+                for a, s in zip(first[part].tolist(), p.same[part].tolist()):
                     spot = np.flatnonzero(by_piece[s]) + a
-                    if len(spot):
-                        np.add.at(cover[o], spot, 1)
-                        np.add.at(cover[o], spot + window, -1)
+                    up[spot] = True
+                    down[spot + window] = True
+            del by_piece
             spans = []
-            for c in cover:
-                gone = np.cumsum(c)[:-1] > 0
+            for a, b in zip([0, *ends[:-1].tolist()], ends.tolist()):
+                gone = np.cumsum(up[a:b].astype(np.int8) - down[a:b], dtype=np.int32)[:-1] > 0
                 spans.append(np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))))
             yield made(row, p.ids, p.texts, spans)
 
-    done = shared.put(joined.join(hits, "block", "left").mapInArrow(finish, schema), "kept")
+    done = shared.put(joined.join(hits, "block", "left").mapInArrow(shared.tidy(finish), schema), "kept")
     shared.drop(common)
     return done
 

@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -102,6 +103,52 @@ def test_two_stage_sort():
         assert [x.tolist() for x in suffix.earlier(pieces, ids, w)] == want
 
 
+def test_suffix_rounds():
+    """A bucket that is worked on in parts and rounds answers as one sort of it does."""
+    rng = random.Random(6)
+    for _ in range(40):
+        base = bytes(rng.choice(b"abc") for _ in range(200))
+        sent = []
+        for _ in range(rng.randint(1, 5)):
+            pieces = [base[a:a + 50 + rng.randint(0, 40)] for a in (rng.randint(0, 150) for _ in range(rng.randint(1, 9)))]
+            sub = np.sort([rng.choice([3, 3, 255]) for _ in pieces])
+            sent.append((pieces, np.array([rng.randint(0, 6) for _ in pieces]), sub))
+        want: dict[int, dict[bytes, int]] = collections.defaultdict(dict)
+        windows = lambda p: [p[i:i + 50] for i in range(len(p) - 49)]
+        for pieces, ids, sub in sent:
+            for p, d, s in zip(pieces, ids, sub):
+                for x in windows(p):
+                    want[s][x] = min(want[s].get(x, 99), d)
+        got = suffix.answers([(suffix.B.pack_array(np.array([[len(p) for p in ps], ids, sub], np.int64)), suffix.B.squeeze(b"".join(ps))) for ps, ids, sub in sent], limit=rng.choice([1, 64, 300]))
+        for (pieces, ids, sub), bits in zip(sent, got):
+            flat = [want[s][x] < d for p, d, s in zip(pieces, ids, sub) for x in windows(p)]
+            assert np.unpackbits(suffix.B.unpack_array(bits, np.uint8))[:len(flat)].astype(bool).tolist() == flat
+
+
+def test_suffix_memory():
+    """What a sort takes beside the pieces doesn't grow with the number of pieces around one hash."""
+    rng = np.random.default_rng(7)
+    pieces = [x.tobytes() for x in rng.integers(97, 123, (1 << 18, 84), np.uint8)]
+    tracemalloc.start()
+    try:
+        hits = suffix.earlier(pieces, np.arange(len(pieces)))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert not any(h.any() for h in hits) and most < 20 * 84 * len(pieces)
+
+
+def test_suffix_buckets(spark, docs):
+    """One partition of many blocks gets as many buckets as blocks, and small batches; the session's setting stays."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, seen, real = spark.conf.get(setting), [], suffix.B.labels
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(suffix.B, "labels", lambda parts: seen.append((parts, spark.conf.get(setting))) or real(parts))
+        suffix.mark(docs.coalesce(1), block_bytes=1024)
+    size = sum(len((r.text or "").encode()) + 16 for r in docs.collect())
+    assert max(n for n, _ in seen) > size / 8192 > 4 and spark.conf.get(setting) == before
+
+
 def removed(rows, w=50):
     """doc_id and text -> result rows of operator 2, by a dictionary of strings."""
     first = {}
