@@ -195,7 +195,15 @@ class Codec:
 
     def unknown(self, split: Iterable[list[str]]) -> set[str]:
         """Distinct words of split texts that are no token."""
-        return set().union(*split) - self.whole.keys()
+        out: set[str] = set()
+        for words in split:  # one text's words at a time
+            out.update(words)
+        return out - self.whole.keys()
+
+    def halfway(self, words: list[str], new: dict[str, str]) -> list[bytes | str]:
+        """A split text with ids in place of tokens; other words stay, as one object each, the keys of new."""
+        get, same = self.whole.get, new.setdefault
+        return [get(w) or same(w, w) for w in words]
 
     def merge(self, words: list[bytes]) -> list[list[int]]:
         """Ids of each word; about REPLAY_BYTES of words are replayed together."""
@@ -203,8 +211,12 @@ class Codec:
 
     def encode(self, split: Iterable[list[str]], ids: dict[str, bytes]) -> Iterator[bytes]:
         """Ids of each split text as little-endian unsigned 32-bit integers, from those of its words that are no token."""
-        get = (self.whole | ids).__getitem__
-        return (b"".join(map(get, words)) for words in split)
+        new: dict[str, str] = {}
+        return (self.finish(self.halfway(words, new), ids) for words in split)
+
+    def finish(self, half: list[bytes | str], ids: dict[str, bytes]) -> bytes:
+        """Ids of a text that is halfway, from those of its other words."""
+        return b"".join([x if x.__class__ is bytes else ids[x] for x in half])
 
     def decode(self, ids: bytes) -> bytes:
         i = np.frombuffer(ids, "<u4")
@@ -224,7 +236,7 @@ def codec(ranks: dict[bytes, int], pattern: str) -> Codec:
     return _codecs[key]
 
 
-def _by_bucket(words: set[str], parts: int) -> list[list[bytes]]:
+def _by_bucket(words: Iterable[str], parts: int) -> list[list[bytes]]:
     """Sorted UTF-8 words of each hash bucket."""
     out: list[list[bytes]] = [[] for _ in range(parts)]
     for w in sorted(w.encode() for w in words):
@@ -263,7 +275,7 @@ def _merged(store: B.Blocks, tool: Callable[[], Codec]) -> DataFrame:
             ids = [known[w] for w in asked]
             yield B.one(B.ASKED, 0, bucket, block, b"", B.pack_array(np.concatenate([np.array([len(x) for x in ids], "<u4"), *ids])))
 
-    return store.df.mapInArrow(send, B.MESSAGE).repartition(parts, "label").mapInArrow(reply, B.MESSAGE)
+    return store.df.mapInArrow(shared.tidy(send), B.MESSAGE).repartition(parts, "label").mapInArrow(shared.tidy(reply), B.MESSAGE)
 
 
 def _known(words: list[list[bytes]], answers: list[dict] | None) -> dict[str, bytes]:
@@ -304,10 +316,11 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
             codec = tool()
             for row in B.rows(batches):
                 raw = B.unpack_block(row)[1]
-                split = [codec.split(t.decode()) for t in raw]
-                known = _known(_by_bucket(codec.unknown(split), parts), row["merges"])
+                new: dict[str, str] = {}
+                half = [codec.halfway(codec.split(t.decode()), new) for t in raw]  # a text's words are strings one text at a time
+                known = _known(_by_bucket(new, parts), row["merges"])
                 out: dict[str, list] = {name: [] for name in made}
-                for x in codec.encode(split, known):
+                for x in (codec.finish(h, known) for h in half):
                     out["n_tokens"].append(len(x) // 4)
                     out["ids"].append(np.frombuffer(x, "<i4") if keep_ids else None)
                     out["ids_sha256"].append(hashlib.sha256(x).hexdigest())
@@ -320,7 +333,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
 
         schema = "struct<" + ",".join([f"`{f.name}`:{f.dataType.simpleString()}" for f in docs.schema if keep_text or f.name != text]
                                       + ["n_tokens:bigint"] + ["ids:array<int>"] * keep_ids + ["ids_sha256:string", "decoded_sha256:string"]) + ">"
-        done = shared.put(store.df.join(B.by_block(got, "merges"), "block", "left").mapInArrow(finish, schema), "tokens")
+        done = shared.put(store.df.join(B.by_block(got, "merges"), "block", "left").mapInArrow(shared.tidy(finish), schema), "tokens")
         shared.drop(got)
     return done
 

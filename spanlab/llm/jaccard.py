@@ -115,8 +115,8 @@ def verify(pairs: DataFrame, heads: DataFrame, sets: DataFrame, percent: int) ->
     def whole(a, b) -> bool:
         return _links(np.frombuffer(a[0], U64), np.frombuffer(b[0], U64), percent)
 
-    left = _beside(pairs, heads, *[f"p{k}" for k in range(1, len(SEEDS))]).mapInArrow(_compare(prefixes), "x bigint, y bigint")
-    done = _beside(left, sets, "tokens").mapInArrow(_compare(whole), "x bigint, y bigint")
+    left = _beside(pairs, heads, *[f"p{k}" for k in range(1, len(SEEDS))]).mapInArrow(shared.tidy(_compare(prefixes)), "x bigint, y bigint")
+    done = _beside(left, sets, "tokens").mapInArrow(shared.tidy(_compare(whole)), "x bigint, y bigint")
     return done.select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
@@ -147,8 +147,8 @@ def link(sets: DataFrame, percent: int, stars: tuple[int, ...] = STARS) -> DataF
             made = [np.unique((_rare_prefix(tokens, levels, s, percent) >> U64(32)).astype(np.uint32)).tobytes() for s in SEEDS[1:]]
             yield pa.RecordBatch.from_arrays([pa.array([row["id"]], pa.int64()), *[pa.array([x], pa.binary()) for x in made]], ["id", *[f"p{k}" for k in range(1, len(SEEDS))]])
 
-    heads = shared.put(sets.mapInArrow(heads_of, "id bigint" + "".join(f", p{k} binary" for k in range(1, len(SEEDS)))), "heads")
-    posts = shared.put(sets.mapInArrow(post, "token bigint, id bigint, n int, pos int"), "posts")
+    heads = shared.put(sets.mapInArrow(shared.tidy(heads_of), "id bigint" + "".join(f", p{k} binary" for k in range(1, len(SEEDS)))), "heads")
+    posts = shared.put(sets.mapInArrow(shared.tidy(post), "token bigint, id bigint, n int, pos int"), "posts")
     several = posts.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
     member = shared.put(posts.join(several, "token").withColumn("g", F.col("id")), "member")
     shared.drop(posts)
@@ -227,7 +227,7 @@ def _grouped(store: B.Blocks, percent: int, n: int) -> DataFrame:
                 ["block", "row", "uid", "doc_id", "n_shingles", "digest", "tokens", "levels"])
 
     every = shared.put(store.df.join(levels, "block", "left").mapInArrow(
-        finish, "block bigint, row int, uid bigint, doc_id bigint, n_shingles bigint, digest binary, tokens binary, levels binary"), "sets")
+        shared.tidy(finish), "block bigint, row int, uid bigint, doc_id bigint, n_shingles bigint, digest binary, tokens binary, levels binary"), "sets")
     shared.drop(levels)
     classes = every.where("digest is not null").groupBy("digest").agg(F.min("uid").alias("class_uid"))
     # of the copies that blocks have sent, one

@@ -142,8 +142,9 @@ def fit(blocks: DataFrame) -> np.ndarray:
     A gram counts once per text.  The model has 2 x 2**BITS numbers whatever the input, for texts outside and of
     the target; without target texts all are 0.
     """
-    some = blocks.select("ids", "lens", "text", "told").mapInArrow(_count, _COUNTS).repartition(SLICES, "slice", "salt").mapInArrow(_add, _COUNTS)
-    rows = some.repartition(SLICES, "slice").mapInArrow(_add, _COUNTS).collect()  # SLICES packed rows
+    some = blocks.select("ids", "lens", "text", "told").mapInArrow(shared.tidy(_count), _COUNTS).repartition(SLICES, "slice", "salt").mapInArrow(shared.tidy(_add), _COUNTS)
+    with shared.small_batches(blocks.sparkSession):
+        rows = some.repartition(SLICES, "slice").mapInArrow(shared.tidy(_add), _COUNTS).collect()  # SLICES packed rows
     if not sum(r["t"] for r in rows):
         return np.zeros((2, 1 << BITS), np.float32)
     counts = np.zeros((2, SLICES, (1 << BITS) // SLICES))
@@ -203,7 +204,7 @@ def score(blocks: DataFrame, model: np.ndarray, seed: int = 7) -> DataFrame:
                 pa.array(np.full(len(ids), row["block"])), pa.array(np.arange(len(ids)), pa.int32()), pa.array(ids, mask=ids == B.NO_ID),
                 pa.array(good, mask=~(good | bad)), pa.array(log_ratios(texts, good, shipped.value))], ["block", "row", "doc_id", "good", "log_ratio"])
 
-    got = blocks.select("block", "ids", "lens", "text", "told").mapInArrow(run, "block bigint, row int, doc_id bigint, good boolean, log_ratio double")
+    got = blocks.select("block", "ids", "lens", "text", "told").mapInArrow(shared.tidy(run), "block bigint, row int, doc_id bigint, good boolean, log_ratio double")
     return got.withColumn("key", F.col("log_ratio") + _noise(seed))
 
 

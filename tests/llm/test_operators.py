@@ -15,7 +15,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from spanlab.llm import bpe, chat, embed, graph, jaccard, language, media, mixing, ngram, quality, suffix
+from spanlab.llm import bpe, chat, embed, graph, jaccard, language, media, mixing, ngram, quality, shared, suffix
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -87,6 +87,56 @@ def test_bpe_odd_texts():
         assert np.frombuffer(ids, "<u4").tolist() == enc.encode_ordinary(t) and tool.decode(ids) == t.encode()
 
 
+def test_bpe_memory():
+    """A block's words are strings for one text at a time: of 40 texts, no more than a few are held."""
+    tool = bpe.Codec(RANKS, public_tokenizers.PATTERN)
+    rng = random.Random(4)
+    text = " ".join("".join(rng.choice("abcdefg") for _ in range(rng.randint(1, 5))) for _ in range(5000))
+
+    def most(run):
+        tracemalloc.start()
+        try:
+            out = run()
+            return tracemalloc.get_traced_memory()[1], out
+        finally:
+            tracemalloc.stop()
+
+    one = most(lambda: tool.split(text))[0]
+    assert most(lambda: tool.unknown(tool.split(text) for _ in range(40)))[0] < 4 * one
+    new = {}
+    size, half = most(lambda: [tool.halfway(tool.split(text), new) for _ in range(40)])
+    assert size < 16 * one and new.keys() == tool.unknown([tool.split(text)])
+    ids = {w: np.array(x, "<u4").tobytes() for w, x in zip(new, tool.merge([w.encode() for w in new]))}
+    assert {tool.decode(tool.finish(h, ids)) for h in half} == {text.encode()}
+
+
+def test_workers_give_memory_back(spark):
+    """What a task had is not kept by its worker, and the next one gets small batches."""
+    def fill(batches):
+        for batch in batches:
+            parts = [bytes(1000) for _ in range(300_000)]
+            kept = parts[::3000]
+            del parts
+            yield batch
+            del kept
+
+    def held(batches):
+        for batch in batches:
+            rss = int(open("/proc/self/statm").read().split()[1]) >> 8
+            yield media.pa.RecordBatch.from_pydict({"mb": media.pa.array([rss], media.pa.int64())})
+
+    def rest():
+        return max(r.mb for r in spark.range(64).repartition(8).mapInArrow(held, "mb bigint").collect())
+
+    before = rest()
+    spark.range(64).repartition(8).mapInArrow(shared.tidy(fill), "id bigint").count()
+    assert rest() < before + 150
+    with shared.small_batches(spark):
+        rows = spark.range(64).coalesce(1).select(F.expr("cast(repeat('x', 1 << 20) as binary)").alias("x"))
+        sizes = rows.mapInArrow(lambda bs: (media.pa.RecordBatch.from_pydict({"n": media.pa.array([b.num_rows], media.pa.int64())}) for b in bs), "n bigint").collect()
+    assert max(r.n for r in sizes) <= 2 * shared.BATCH_BYTES >> 20 and sum(r.n for r in sizes) == 64
+
+
 def test_two_stage_sort():
     rng = random.Random(5)
     for _ in range(150):
