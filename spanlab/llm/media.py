@@ -160,7 +160,7 @@ def parse(pages: DataFrame, key: str, html: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(range(number, number + len(items)), pa.int64()), part.column(0), pa.array(items, _ITEMS)], ["page", "key", "items"])
                 number += len(items)
 
-    made = pages.select(F.col(key).alias("key"), F.col(html).alias("html")).mapInArrow(run, f"page bigint, key {kind}, items {ITEMS}")
+    made = pages.select(F.col(key).alias("key"), F.col(html).alias("html")).mapInArrow(shared.tidy(run), f"page bigint, key {kind}, items {ITEMS}")
     return shared.put(made, "pages").withColumnRenamed("key", key)
 
 
@@ -191,7 +191,7 @@ def store(docs: DataFrame, text: str = "text") -> DataFrame:
             if out["digest"]:
                 yield _batch(out)
 
-    return docs.select(F.col(text).cast("binary")).mapInArrow(run, "digest string, n_bytes bigint, media binary")
+    return docs.select(F.col(text).cast("binary")).mapInArrow(shared.tidy(run), "digest string, n_bytes bigint, media binary")
 
 
 def _batch(out: dict) -> pa.RecordBatch:
@@ -214,26 +214,25 @@ def examine(media: DataFrame) -> DataFrame:
             if got:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*got)], [c.split(" ")[0] for c in FACTS.split(", ")])
 
-    return media.select("digest", "n_bytes", "media").mapInArrow(run, FACTS)
+    return media.select("digest", "n_bytes", "media").mapInArrow(shared.tidy(run), FACTS)
 
 
 def page_of(docs: DataFrame, text: str = "text") -> DataFrame:
-    """A page for each document that shows its text as a figure between two lines: doc_id, html."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, html = batch.column(0), []
-            for i, data in zip(ids.to_pylist(), batch.column(1).to_pylist()):
-                html.append(f'<article><h1>Document {i}</h1><figure><img src="sha256:{hashlib.sha256(data or b"").hexdigest()}"><figcaption>text of document {i}</figcaption></figure><p>end</p></article>')
-            yield pa.RecordBatch.from_arrays([ids, pa.array(html, pa.string())], ["doc_id", "html"])
-
-    return docs.select(F.col("doc_id").cast("bigint"), F.col(text).cast("binary")).mapInArrow(run, "doc_id bigint, html string")
+    """A page for each document that shows its text as a figure between two lines: doc_id, html.  Texts stay in the JVM."""
+    i = F.col("doc_id").cast("bigint")
+    name, mark = F.coalesce(i.cast("string"), F.lit("None")), F.sha2(F.coalesce(F.col(text).cast("binary"), F.lit(b"")), 256)
+    return docs.select(i.alias("doc_id"), F.concat(
+        F.lit("<article><h1>Document "), name, F.lit('</h1><figure><img src="sha256:'), mark, F.lit('"><figcaption>text of document '), name,
+        F.lit("</figcaption></figure><p>end</p></article>")).alias("html"))
 
 
 def resolve(pages: DataFrame, media: DataFrame) -> DataFrame:
-    """parse()'s pages with a field ``media`` in each item: the facts of its media; null for texts and unresolved references."""
+    """parse()'s pages with a field ``media`` in each item: the facts of its media; null for texts and unresolved references.
+
+    Facts are written to the shared folder, so media reach Python in small batches.
+    """
     one = media.groupBy("digest").agg(F.first(F.struct("n_bytes", "media")).alias("_m")).select("digest", "_m.*")
-    facts = examine(one)
+    facts = shared.put(examine(one), "facts")
     asked = pages.select("page", F.explode(F.filter("items", lambda i: i["kind"] == "media")).alias("_i")).select("page", "_i.position", "_i.digest")
     found = asked.join(facts, "digest").groupBy("page").agg(F.map_from_entries(F.collect_list(F.struct("position", F.struct(*facts.columns[1:])))).alias("_found"))
     return pages.join(found, "page", "left").withColumn(

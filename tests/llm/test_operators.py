@@ -338,6 +338,27 @@ def test_media(spark, docs, nothing):
     assert media.resolve(media.parse(media.page_of(nothing), "doc_id", "html"), media.store(nothing)).count() == 0
 
 
+def test_media_batches(spark):
+    """Texts don't go to Python to be put on pages, and media go there a few megabytes at a time."""
+    docs = spark.range(24).select(F.col("id").alias("doc_id"), F.concat(F.col("id").cast("string"), F.expr("repeat('x', 1 << 20)")).alias("text")).coalesce(1)
+    assert "Python" not in (plan := media.page_of(docs)._jdf.queryExecution().toString()) and "MapInArrow" not in plan
+    seen = spark.sparkContext.accumulator(0)
+
+    def sized(run):
+        def wrapped(batches):
+            def look():
+                for b in batches:
+                    seen.add(1)
+                    yield b
+            yield from run(look())
+        return wrapped
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(media.shared, "tidy", sized)
+        pages = media.resolve(media.parse(media.page_of(docs), "doc_id", "html"), media.store(docs)).collect()
+    assert seen.value > 6 and len(pages) == 24 and all(r["items"][1].media.n_bytes > 1 << 20 for r in pages)
+
+
 def test_media_interleaved(spark):
     """Several media between texts, the same one twice, one unresolved, pages with one id or none, and pages without items."""
     mark = {t: hashlib.sha256(t.encode()).hexdigest() for t in ("one", "two", "gone")}
