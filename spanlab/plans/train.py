@@ -7,15 +7,20 @@ from pyspark.sql import functions as F
 
 from ..functions.chars import slice_text
 from ..functions.shapes import token_of
-from ..operators import scoring, spans, synth
+from ..operators import arrays, scoring, synth
 
 
 def labelled(examples: DataFrame) -> DataFrame:
     """(key, text, spans) -> tokens with labels, keyed by doc_id.  Spans are clamped to the text, sorted and merged where they overlap or touch."""
-    docs = examples.select(F.col("key").alias("doc_id"), "text")
-    marks = examples.select(F.col("key").alias("doc_id"), F.length("text").alias("text_len"), F.explode("spans").alias("s")).select(
-        "doc_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "text_len")
-    return spans.project(spans.token_spans(docs), spans.merge_overlapping(marks))
+    rows = _labels(examples, "start", "end", "span_idx", "label").select(F.col("key").alias("doc_id"), F.posexplode(F.arrays_zip("pieces", "l.start", "l.end", "l.span_idx", "l.label")).alias("pos", "x"))
+    return rows.select("doc_id", "pos", token_of(F.col("x.pieces")).alias("token"), "x.start", "x.end", "x.span_idx", "x.label")
+
+
+def _labels(examples: DataFrame, *want: str) -> DataFrame:
+    """examples plus pieces, lens and l, what is wanted as arrays.labelled() makes it; pieces and lens that are there stay."""
+    rows = examples if "lens" in examples.columns else arrays.tokenized(examples)
+    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
+    return rows.withColumn("l", arrays.labelled(F.col("lens"), F.coalesce(arrays.clamped(F.col("spans"), F.length("text").cast("bigint")), none), *want))
 
 
 def example_rows(examples: DataFrame) -> DataFrame:
@@ -24,20 +29,10 @@ def example_rows(examples: DataFrame) -> DataFrame:
     insert_start and insert_end are token places, -1 without a span; inserted_value joins the texts of the merged
     spans with ' ||| '.  An empty text has no tokens.
     """
-    docs = examples.select(F.col("key").alias("doc_id"), "text")
-    marks = examples.select(F.col("key").alias("doc_id"), F.length("text").alias("text_len"), F.explode("spans").alias("s")).select(
-        "doc_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "text_len")
-    merged = spans.merge_overlapping(marks)
-    rows = spans.project(spans.token_spans(docs), merged)
-    per = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "token", "label"))).alias("t"))
-    own = merged.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("insert_spans"))
-    both = docs.join(per, "doc_id", "left").join(own, "doc_id", "left").withColumn("insert_spans", F.coalesce("insert_spans", F.array().cast("array<struct<start:bigint,end:bigint>>")))
-    first, last = (F.array_position(x, True) for x in (F.transform("labels", lambda v: v > 0), F.reverse(F.transform("labels", lambda v: v > 0))))
-    value = F.array_join(F.transform("insert_spans", lambda x: slice_text(F.col("text"), x["start"], x["end"])), " ||| ")
-    lists = both.select("doc_id", "text", "insert_spans", F.coalesce("t.token", F.array().cast("array<string>")).alias("abstract_tokens"),
-                        F.coalesce("t.label", F.array().cast("array<int>")).alias("labels"), value.alias("inserted_value"))
-    return lists.select(F.col("doc_id").alias("key"), F.col("text").alias("raw_text"), "abstract_tokens", "labels", F.coalesce(first - 1, F.lit(-1)).cast("int").alias("insert_start"),
-                        F.when(last > 0, F.size("labels") - last + 1).otherwise(-1).cast("int").alias("insert_end"), "inserted_value", "insert_spans")
+    value = F.array_join(F.transform("l.spans", lambda x: slice_text(F.col("text"), x["start"], x["end"])), " ||| ")
+    return _labels(examples, "spans", "label", "first", "last").select(
+        "key", F.col("text").alias("raw_text"), F.transform("pieces", token_of).alias("abstract_tokens"), F.col("l.label").alias("labels"), F.col("l.first").alias("insert_start"),
+        F.when(F.col("l.last") >= 0, F.col("l.last") + 1).otherwise(-1).alias("insert_end"), value.alias("inserted_value"), F.col("l.spans").alias("insert_spans"))
 
 
 def train_words(examples: DataFrame, seed: int = 42, held: float = 0.1, reach: int = 3) -> tuple[scoring.MLScorer, dict[str, float]]:
