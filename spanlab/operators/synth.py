@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,9 +24,26 @@ def _of(values: list[str], at: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (at + 1).cast("int"))
 
 
+def _numbered(targets: DataFrame, order: str = "text") -> tuple[DataFrame, int]:
+    """numbered(), and how many rows there are.
+
+    Equal rows are counted first, so a very frequent one is one row of the sort; ranges are sorted in their own tasks.
+    What is numbered is kept: a range's numbers hold only as long as the ranges stay the same.  Only the ranges' sizes reach the driver.
+    """
+    cols, ranges = targets.columns, int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = targets.groupBy(*cols).agg(F.count("*").alias("_c")).repartitionByRange(ranges, *cols).sortWithinPartitions(*cols)
+    rows = each.select(F.col(order).alias("target"), F.explode(F.sequence(F.lit(1), F.col("_c").cast("int"))).alias("_k"))
+    kept = rows.select("target", F.monotonically_increasing_id().alias("_i")).persist(StorageLevel.MEMORY_AND_DISK)
+    part = F.shiftright("_i", 33).cast("int")
+    sizes = {r.p: r.n for r in kept.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
+    before = list(accumulate((sizes.get(p, 0) for p in range(max(sizes, default=-1) + 1)), initial=0))
+    tid = F.get(F.lit(before), part) + F.col("_i").bitwiseAND(2**33 - 1)
+    return kept.select(tid.cast("bigint").alias("tid"), "target"), before[-1]
+
+
 def numbered(targets: DataFrame, order: str = "text") -> DataFrame:
-    """tid (0, 1, ...) and text, in order of text and key: targets are a list small enough to number in one place."""
-    return targets.select((F.row_number().over(W.orderBy(*targets.columns)) - 1).cast("bigint").alias("tid"), F.col(order).alias("target"))
+    """tid (0, 1, ...) and text, in order of all columns of targets."""
+    return _numbered(targets, order)[0]
 
 
 def insert_targets(base: DataFrame, targets: DataFrame, seed: int, low: int = 1, high: int = 3) -> DataFrame:
@@ -32,8 +52,7 @@ def insert_targets(base: DataFrame, targets: DataFrame, seed: int, low: int = 1,
     Places are drawn in the base text and sorted; each target stands between
     two separators.  Without targets texts stay as they are.
     """
-    tids = numbered(targets)
-    n = tids.count()
+    tids, n = _numbered(targets)
     if not n:
         none = F.array().cast("array<struct<start:bigint,end:bigint,target:string>>")
         return base.select("key", "text", none.alias("spans"))
@@ -61,8 +80,8 @@ def insert_targets(base: DataFrame, targets: DataFrame, seed: int, low: int = 1,
 
 def synthetic_set(lines: DataFrame, targets: DataFrame, n: int, seed: int, positive: float = 0.7) -> DataFrame:
     """n rows: key, positive, text, spans; each from a drawn line (lid 0.., text), positives with targets inserted."""
-    lids = numbered(lines).select(F.col("tid").alias("lid"), F.col("target").alias("text"))
-    m = lids.count()
+    lids, m = _numbered(lines)
+    lids = lids.select(F.col("tid").alias("lid"), F.col("target").alias("text"))
     rows = lines.sparkSession.range(n).withColumnRenamed("id", "key").withColumn("lid", pick(seed, F.col("key"), "line", m))
     rows = rows.withColumn("positive", unit(seed, F.col("key"), "pos") < positive).join(lids, "lid").select("key", "positive", "text")
     none = F.array().cast("array<struct<start:bigint,end:bigint,target:string>>")
@@ -72,8 +91,7 @@ def synthetic_set(lines: DataFrame, targets: DataFrame, n: int, seed: int, posit
 
 def archive_text(requests: DataFrame, archive: DataFrame, seed: int) -> DataFrame:
     """requests (key, n) and archive (line) -> key, tokens: the first n tokens of drawn lines (each has 8 or more)."""
-    lids = numbered(archive.select("line"), "line")
-    m = lids.count()
+    lids, m = _numbered(archive.select("line"), "line")
     if not m:
         raise ValueError("the archive holds no lines")
     slots = requests.select("key", "n", F.explode(F.sequence(F.lit(0), F.ceil((F.col("n") + 12) / 8).cast("int"))).alias("slot"))
@@ -132,9 +150,8 @@ def perturb(text: Column, seed: int, key: Column, insert: float = 0.35, delete:
 def word_examples(keys: DataFrame, archive: DataFrame, citations: DataFrame, seed: int, low: int = 40, high: int = 110, refs: int = 4, noise: float = 0.75) -> DataFrame:
     """keys (key) -> key, tokens, ner_tags: archive words with 1 to refs citations put in one after another, so a later one may split an earlier one."""
     base = archive_text(keys.select("key", between(seed, F.col("key"), "n", low, high).alias("n")), archive, seed)
-    tids = numbered(citations)
-    m = tids.count()
-    slots = base.select("key", F.explode(F.sequence(F.lit(1), between(seed, F.col("key"), "r", 1, refs).cast("int"))).alias("slot"))
+    tids, m = _numbered(citations)
+    slots = keys.select("key", F.explode(F.sequence(F.lit(1), between(seed, F.col("key"), "r", 1, refs).cast("int"))).alias("slot"))
     own = F.concat(F.lit("c"), F.col("slot").cast("string"))
     drawn = slots.withColumn("tid", pick(seed, F.col("key"), own, m)).join(tids, "tid")
     both = F.concat_ws(":", F.col("key").cast("string"), F.col("slot").cast("string"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanlab import catalog
-from spanlab.operators import arrays, spans
+from spanlab.operators import arrays, spans, synth
 
 DATA = Path("/root/testdata/sf0.001")
 ONE_SHUFFLE = ["encoded_examples", "example_rows", "label_summary", "inserted_values", "merged_spans", "overlap_ratios", "projected_labels", "decoded_spans"]
@@ -42,3 +42,13 @@ def test_decoded_odd_labels(spark):
     df = spark.createDataFrame(rows, "i int, label array<int>").coalesce(1).withColumn("lens", F.transform("label", lambda _: F.lit(2)))
     got = {r.i: [(x.first_pos, x.start, x.end) for x in r.d] for r in df.select("i", arrays.decoded(F.col("lens"), F.col("label")).alias("d")).collect()}
     assert got == {1: [(1, 2, 6), (5, 10, 12)], 2: [(2, 4, 6)], 3: [], 4: [(0, 0, 2), (3, 6, 8), (4, 8, 10)]}
+
+
+def test_numbered_in_ranges(spark):
+    """Rows are numbered in order of all columns, equal ones side by side, and no task sorts the whole list."""
+    rows = [(i * 7919 % 300, f"t{i % 5}") for i in range(300)] + [(5, "same")] * 40 + [(None, "none")]
+    df = spark.createDataFrame(rows, "k int, text string").repartition(3)
+    got = synth.numbered(df)
+    want = [t for _, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))]
+    assert [tuple(r) for r in got.orderBy("tid").collect()] == list(enumerate(want)) and "SinglePartition" not in got._jdf.queryExecution().toString()
+    assert synth.numbered(df.where("k > 1000")).count() == 0
