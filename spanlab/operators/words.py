@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.chars import collapse
+from ..functions.chars import collapse, let
 
 # Fixed value: words, or single characters that are neither word nor white space.
 WORD = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
@@ -27,14 +27,14 @@ def archive(docs: DataFrame, low: int = 8, high: int = 40) -> DataFrame:
 
 def bioe(words: Column) -> Column:
     """Tags of one inserted reference: B, I..., E (a single word: B)."""
-    last = F.size(words) - 1
-    return F.transform(words, lambda _, i: F.when(i == 0, LABELS["B-REF"]).when(i == last, LABELS["E-REF"]).otherwise(LABELS["I-REF"]))
+    tag = lambda i, last: F.when(i == 0, LABELS["B-REF"]).when(i == last, LABELS["E-REF"]).otherwise(LABELS["I-REF"])
+    return let(words, lambda w: let(F.size(w) - 1, lambda last: F.transform(w, lambda _, i: tag(i, last))))
 
 
 def align_subwords(word_ids: Column, tags: Column) -> Column:
     """Label of each subword: its word's tag at the word's first subword, else -100 (word_ids: null for special tokens)."""
-    def label(word: Column, i: Column) -> Column:
-        before = F.when(i > 0, F.try_element_at(word_ids, i))
-        return F.when(word.isNull() | F.coalesce(word == before, F.lit(False)), -100).otherwise(F.try_element_at(tags, word + 1))
+    def label(x: Column, word: Column, i: Column) -> Column:
+        before = F.when(i > 0, F.try_element_at(x["ids"], i))
+        return F.when(word.isNull() | F.coalesce(word == before, F.lit(False)), -100).otherwise(F.try_element_at(x["tags"], word + 1))
 
-    return F.transform(word_ids, label)
+    return let(F.struct(word_ids.alias("ids"), tags.alias("tags")), lambda x: F.transform(x["ids"], lambda word, i: label(x, word, i)))
