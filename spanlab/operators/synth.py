@@ -121,17 +121,23 @@ def perturb(text: Column, seed: int, key: Column, insert: float = 0.35, delete:
     fewer, more = kind >= none + insert, ((kind >= none) & (kind < none + insert)) | (kind >= none + insert + delete)
 
     def gone(c: Column) -> Column:
-        drawn = F.array_sort(F.transform(c, lambda _, i: F.struct(own("d", i).alias("u"), i.alias("i"))))
+        drawn = F.sort_array(F.transform(c, lambda _, i: F.struct(own("d", i).alias("u"), i.alias("i"))))
         return F.transform(F.slice(drawn, F.lit(1), F.least(some(F.size(c), "deleted"), F.size(c) - 1)), lambda x: x["i"])
 
     def deleted(c: Column) -> Column:
         return _let(gone(c), lambda g: F.filter(c, lambda _, i: ~F.array_contains(g, i)))
 
     def spliced(c: Column) -> Column:
+        """c as a text, with what is inserted; pieces of c are cut out once, in order of place."""
         added = F.transform(F.sequence(F.lit(1), some(F.size(c), "inserted")), lambda j: F.struct(
-            F.floor(own("p", j) * (F.size(c) + 1)).cast("int").alias("at"), _of(NOISE, F.floor(own("c", j) * len(NOISE))).alias("x")))
-        return _let(added, lambda a: F.transform(F.sequence(F.lit(0), F.size(c)), lambda i: F.concat(
-            F.array_join(F.transform(F.filter(a, lambda x: x["at"] == i), lambda x: x["x"]), ""), F.coalesce(F.get(c, i), F.lit("")))))
+            F.floor(own("p", j) * (F.size(c) + 1)).cast("int").alias("at"), j.alias("j"), _of(NOISE, F.floor(own("c", j) * len(NOISE))).alias("x")))
+
+        def put(a: Column) -> Column:
+            last = lambda k: F.when(k > 0, F.get(a, k - 1)["at"]).otherwise(0)
+            heads = F.transform(a, lambda m, k: F.concat(F.array_join(F.slice(c, last(k) + 1, m["at"] - last(k)), ""), m["x"]))
+            return F.concat(F.array_join(heads, ""), F.array_join(F.slice(c, last(F.size(a)) + 1, F.size(c)), ""))
+
+        return _let(F.sort_array(added), put)
 
     def glitched(t: Column, slot: str, values: list[str], share: float, over: int) -> Column:
         """One of values in the place of ``over`` characters."""
@@ -139,9 +145,9 @@ def perturb(text: Column, seed: int, key: Column, insert: float = 0.35, delete:
         new = F.concat(F.substr(t, F.lit(1), at), _of(values, F.floor(u(slot + "of") * len(values))), F.substr(t, at + 1 + over))
         return F.when(u(slot) < share, new).otherwise(t)
 
-    chars = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+    chars = F.split(text, "")
     rest = _let(chars, lambda c: F.when(fewer & (F.size(c) > 3), deleted(c)).otherwise(c))
-    noisy = F.array_join(_let(rest, lambda c: F.when(more, spliced(c)).otherwise(c)), "")
+    noisy = _let(rest, lambda c: F.when(more, spliced(c)).otherwise(F.array_join(c, "")))
     noisy = _let(noisy, lambda t: glitched(t, "over", OVERWRITES, 0.3, 1))
     noisy = _let(noisy, lambda t: glitched(t, "ins", INSERTS, 0.2, 0))
     return F.when(text != "", noisy).otherwise(text)
