@@ -52,7 +52,8 @@ def _header(s: Column) -> Column:
     names = "|".join(SECTIONS + OTHER_SECTIONS)
     capital = (F.upper(s) == s) & _has(s, "[A-Z]")
     titled = s.endswith(":") & ~_has(s, r"\((19|20)\d{2}") & ~_has(s, r"\b[A-Z]\.")
-    return (s != "") & (_has(s, rf"^(?:{names})[{WS}]*:?[{WS}]*\z", True) | ((F.length(s) <= 80) & (capital | titled)))
+    # no name holds a comma, most other lines do
+    return (s != "") & ((~s.contains(",") & _has(s, rf"^(?:{names})[{WS}]*:?[{WS}]*\z", True)) | ((F.length(s) <= 80) & (capital | titled)))
 
 
 def strip_number(line: Column) -> Column:
@@ -145,8 +146,13 @@ def _signs(s: Column) -> Column:
     return sum((x.cast("int") for x in signs), F.lit(0))
 
 
+def apa_like(other: Column, score: Column) -> Column:
+    """is_apa() of a text from its is_obvious_other() and apa_score(); a blank text has score 0."""
+    return ~other & (score >= 3)
+
+
 def is_apa(text: Column) -> Column:
-    return let(strip(F.coalesce(text, F.lit(""))), lambda s: (s != "") & ~is_obvious_other(s) & (apa_score(s) >= 3))
+    return let(strip(F.coalesce(text, F.lit(""))), lambda s: (s != "") & apa_like(is_obvious_other(s), apa_score(s)))
 
 
 # What a link looks like.
