@@ -6,10 +6,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanlab import catalog
+from spanlab.functions import chars
 from spanlab.operators import arrays, spans, synth
 
 DATA = Path("/root/testdata/sf0.001")
-ONE_SHUFFLE = ["encoded_examples", "example_rows", "label_summary", "inserted_values", "merged_spans", "overlap_ratios", "projected_labels", "decoded_spans"]
+ONE_SHUFFLE = ["encoded_examples", "example_rows", "label_summary", "inserted_values", "merged_spans", "overlap_ratios", "projected_labels", "decoded_spans",
+               "chunk_lines", "bibliography_candidates", "cleaned_candidates", "supervised_examples", "adjacent_spans", "predicted_boundaries"]
+TWO_SHUFFLES = ["deduped_blocks", "extracted_blocks", "extracted_large"]
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="no test data")
@@ -20,6 +23,14 @@ def test_one_shuffle(spark, name):
     assert plan.count("Exchange") == 1 and "Join" not in plan and "Window" not in plan
 
 
+@pytest.mark.skipif(not DATA.exists(), reason="no test data")
+@pytest.mark.parametrize("name", TWO_SHUFFLES)
+def test_two_shuffles(spark, name):
+    """The second deals out what is found, to drop repeats."""
+    plan = catalog.QUERIES[name](spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 2 and "Join" not in plan and "Window" not in plan
+
+
 def test_labels_as_on_rows(spark):
     """Overlapping, touching, empty and outer spans; empty and null texts; several documents in a batch."""
     rows = [(1, "alpha beta (1999) x", [(0, 3), (2, 7), (7, 9), (-5, 1), (16, 99)]), (2, "", [(0, 4)]), (3, None, [(0, 4)]), (4, "no span", []), (5, "aé (2001). www..x", [(1, 1), (3, 9), (11, 30)]), (6, "a b", [(0, 3)])]
@@ -52,3 +63,13 @@ def test_numbered_in_ranges(spark):
     want = [t for _, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))]
     assert [tuple(r) for r in got.orderBy("tid").collect()] == list(enumerate(want)) and "SinglePartition" not in got._jdf.queryExecution().toString()
     assert synth.numbered(df.where("k > 1000")).count() == 0
+
+
+def test_white_space_sets(spark):
+    """Trimming and collapsing know the characters of (?U)\\s and \\x1c-\\x1f, and no others."""
+    every = [chr(c) for c in range(1, 0x3100) if not 0xD800 <= c < 0xE000]
+    df = spark.createDataFrame([(i, f"{c}a{c}b{c}") for i, c in enumerate(every)], "i int, t string")
+    t = F.col("t")
+    got = {r.i: tuple(r)[1:] for r in df.select("i", chars.strip(t), chars.lstrip(t), chars.rstrip(t), chars.collapse(t), F.rlike(F.substring(t, 1, 1), F.lit(rf"(?U)\A[{chars.WS}]\z"))).collect()}
+    for i, c in enumerate(every):
+        assert got[i] == (f"a{c}b", f"a{c}b{c}", f"{c}a{c}b", "a b", True) if c.isspace() else (*[f"{c}a{c}b{c}"] * 4, False)
